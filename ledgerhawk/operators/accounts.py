@@ -89,3 +89,11 @@ def location_popularity(df: DataFrame, key: str = "location", out: str = "locati
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     return (df.join(counts, key, "left").crossJoin(F.broadcast(total))
             .withColumn(out, F.col("_n") / F.col("_total")).drop("_n", "_total"))
+
+
+def switching_rate(txns: DataFrame, cust: str = "cust_id", dest: str = "dest_id") -> DataFrame:
+    """Distinct destinations / transactions per customer and the
+    consistency 1 / (1 + rate) (D6)."""
+    g = txns.groupBy(cust).agg(F.countDistinct(dest).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    rate = F.col("_d").cast("double") / F.col("_n")
+    return g.select(cust, rate.alias("device_switching_rate"), (1.0 / (1.0 + rate)).alias("device_consistency"))

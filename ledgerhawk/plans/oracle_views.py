@@ -193,3 +193,10 @@ def with_views(sql: str, names: list[str], extra: list[tuple[str, str]] | None =
     parts = [f"{n} AS ({VIEWS[n]})" for n in _order(names)]
     parts += [f"{n} AS ({body})" for n, body in (extra or [])]
     return "WITH " + ",\n".join(parts) + "\n" + sql
+
+VIEWS["netlog"] = """
+SELECT event_id, ip_address, device_id, user_id, endpoint AS dest_id, ts AS timestamp,
+       epoch_us(ts) // 1000000 AS step, CAST(status_code >= 500 AS INTEGER) AS label
+FROM applogs
+"""
+DEPS["netlog"] = ["applogs"]

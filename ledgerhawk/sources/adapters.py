@@ -252,3 +252,13 @@ def warehouse_agencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(["high", "medium", "low"], F.col("s_suppkey") % 3).alias("risk_category"),
         (F.col("s_nationkey") % 3 != 0).alias("is_verified"),
     )
+
+
+def netlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application logs as network-log rows (ip, device, user, destination
+    endpoint, timestamp, integer step in seconds, label = server error)."""
+    a = applogs(spark, sf_dir)
+    return a.select("event_id", "ip_address", "device_id", "user_id", F.col("endpoint").alias("dest_id"),
+                    F.col("ts").alias("timestamp"),
+                    F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("step"),
+                    (F.col("status_code") >= 500).cast("int").alias("label"))
