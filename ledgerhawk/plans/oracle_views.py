@@ -188,10 +188,13 @@ def _order(names: list[str]) -> list[str]:
     return out
 
 
-def with_views(sql: str, names: list[str], extra: list[tuple[str, str]] | None = None) -> str:
-    """Prefix ``sql`` with the CTEs of ``names`` (and extra named CTEs)."""
+def with_views(sql: str, names: list[str], extra: list[tuple[str, str]] | None = None,
+               materialize: bool = False) -> str:
+    """Prefix ``sql`` with the CTEs of ``names`` (and extra named CTEs;
+    ``materialize`` marks the extras MATERIALIZED, for unrolled loops)."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in _order(names)]
-    parts += [f"{n} AS ({body})" for n, body in (extra or [])]
+    m = "MATERIALIZED " if materialize else ""
+    parts += [f"{n} AS {m}({body})" for n, body in (extra or [])]
     return "WITH " + ",\n".join(parts) + "\n" + sql
 
 VIEWS["netlog"] = """
