@@ -401,3 +401,39 @@ def q_unified_risk(spark, sf):
                              "security": "security_recal"})
     return finish(b.select("txn_id", "behavioral_recal", "financial_recal", "security_recal", "unified_score",
                            "unified_category", "unified_confidence", "unified_action", "fraud_category"))
+
+
+# ---------------------------------------------------------------- credit fold (I16)
+FOLD_STEP = """
+  SELECT agency_id, rn, txn_id, t1 AS trust, action,
+         lim AS old_limit,
+         CASE action WHEN 'EXPAND' THEN lim * 1.25::DOUBLE WHEN 'CONTRACT' THEN lim * 0.5::DOUBLE ELSE lim END AS lim,
+         CASE WHEN action = 'PAUSE' THEN util ELSE util + amount END AS util,
+         CASE action WHEN 'PAUSE' THEN 'PAUSED' WHEN 'CONTRACT' THEN 'RESTRICTED' WHEN 'EXPAND' THEN 'ACTIVE'
+              ELSE status END AS status
+  FROM (
+    SELECT *, CASE WHEN risk >= 0.6 OR cb > 0.05 THEN 'PAUSE' WHEN risk >= 0.4 OR cb > 0.02 THEN 'CONTRACT'
+                   WHEN risk < 0.2 AND t1 > 0.7 AND cb = 0.0 AND util + amount > lim * 0.8::DOUBLE THEN 'EXPAND'
+                   ELSE 'MAINTAIN' END AS action
+    FROM (SELECT s.agency_id, s.rn, s.txn_id, s.risk, s.amount, s.cb, p.lim, p.util, p.status,
+                 greatest(0.0::DOUBLE, least(1.0::DOUBLE, p.trust - (s.risk - 0.3::DOUBLE) * 0.5::DOUBLE)) AS t1
+          FROM {prev} JOIN seq s ON s.agency_id = p.agency_id AND s.rn = {rn}) a
+  ) b"""
+CREDIT_SQL = ("WITH RECURSIVE " + with_views(f"""
+SELECT agency_id, txn_id, action, old_limit, lim AS new_limit, util AS utilized_credit, trust AS trust_score, status
+FROM fold""", ["bookings", "agencies"], [
+    ("bk", BK_DAILY), ("ag", AG_CTE), ("trv", TRAVEL_CTE), ("vel", VEL_CTE), ("net", NET_CTE), ("dcs", DECISION_SQL),
+    ("seq", """SELECT d.agency_id, d.txn_id, d.amount, d.overall_risk AS risk, coalesce(a.chargeback_rate, 0.0) AS cb,
+                      row_number() OVER (PARTITION BY d.agency_id ORDER BY d.ts, d.txn_id) AS rn
+               FROM dcs d LEFT JOIN agencies a ON d.agency_id = a.agency_id"""),
+    ("fold", FOLD_STEP.format(prev="(SELECT agency_id, 10000.0::DOUBLE AS lim, 0.5::DOUBLE AS trust, 0.0::DOUBLE AS util, "
+                                   "'ACTIVE' AS status FROM seq WHERE rn = 1) p", rn="1")
+     + " UNION ALL " + FOLD_STEP.format(prev="fold p", rn="p.rn + 1")),
+])[len("WITH "):])
+
+
+@register("credit_fold", CREDIT_SQL)
+def q_credit_fold(spark, sf):
+    from ..operators.credit import credit_decisions
+    d = decision_frame(spark, sf)
+    return finish(credit_decisions(d, ad.agencies(spark, sf)))
