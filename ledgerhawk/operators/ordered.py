@@ -27,6 +27,18 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 
 
+def _blocked(df: DataFrame, blocks: int, keys: list[str]) -> DataFrame:
+    """Range-partition by ``keys`` and tag each row with its block number,
+    written once to the checkpoint folder.  The block number is read by
+    several branches of the plan; reading a stored column (instead of
+    re-evaluating ``spark_partition_id()`` in each branch, where adaptive
+    coalescing may number partitions differently) keeps them consistent,
+    and it also survives executor loss."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(blocks, *keys).withColumn("_blk", F.spark_partition_id()).checkpoint(eager=True)
+
+
 def _plain(df: DataFrame, key: str, order: list[str], build: Callable[[Window], list[Column]]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.select("*", *build(w))
@@ -47,7 +59,7 @@ def sequence_window(df: DataFrame, key: str, order: list[str], m: int,
     spark = df.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    r = df.repartitionByRange(blocks, key, *order).withColumn("_blk", F.spark_partition_id())
+    r = _blocked(df, blocks, [key] + order)
     bounds = r.groupBy("_blk").agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
     # rows of the last key of every block, newest m per block
     last_rows = r.join(F.broadcast(bounds.select("_blk", F.col("_kmax").alias(key))), ["_blk", key])
@@ -62,3 +74,28 @@ def sequence_window(df: DataFrame, key: str, order: list[str], m: int,
     w = Window.partitionBy(key, "_blk").orderBy(*order)
     out = data.select("*", *build(w))
     return out.where(~F.col("_ctx")).drop("_blk", "_ctx")
+
+
+def prefix_sums(df: DataFrame, order: list[str], cols: list[str], by: str | None = None,
+                blocks: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``cols`` in ``order`` (restarting per ``by``),
+    computed without a single-partition window: rows are range-partitioned
+    into blocks, summed inside each block, and each block is shifted by the
+    totals of the blocks before it (one row per block).  ``order`` must be
+    unique within ``by``; values must be non-negative when ``by`` is used."""
+    spark = df.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ([by] if by else []) + order
+    r = _blocked(df, blocks, keys)
+    w_in = Window.partitionBy("_blk").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = r.select("*", *[F.sum(c).over(w_in).alias(f"_l_{c}") for c in cols])
+    tot = r.groupBy("_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_blk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    out = local.join(F.broadcast(off), "_blk").select(
+        *df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in cols])
+    if by:
+        start = out.groupBy(by).agg(*[F.min(F.col(f"{prefix}{c}") - F.col(c)).alias(f"_s_{c}") for c in cols])
+        out = out.join(start, by).select(*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_s_{c}")).alias(f"{prefix}{c}")
+                                                        for c in cols])
+    return out
