@@ -42,7 +42,7 @@ G_BASE = [
 
 
 def gsql(sql: str, extra=None, materialize_extra=None) -> str:
-    base = with_views("SELECT 1", ["gtxn"], G_BASE + (extra or []))
+    base = with_views("SELECT 1", ["txn", "gtxn"], G_BASE + (extra or []))
     head = base[: base.rindex("\nSELECT 1")]
     if materialize_extra:
         head += ",\n" + ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in materialize_extra)
@@ -259,3 +259,55 @@ FROM nodes n LEFT JOIN (
 def q_modularity(spark, sf):
     g = _g(spark, sf)
     return finish(lc.modularity_share(g, it.label_propagation(g, max_iter=N_ROUNDS)))
+
+
+# ------------------------------------------------------------ paths, node table, role joins
+@register("betweenness")
+def q_betweenness(spark, sf):
+    """Brandes betweenness from 32 hash-chosen pivots, n/k scaled."""
+    from ..operators.graph.paths import betweenness
+    return finish(betweenness(_g(spark, sf), k=32))
+
+
+@register("closeness")
+def q_closeness(spark, sf):
+    """Closeness estimated from 32 pivot BFS trees."""
+    from ..operators.graph.paths import closeness
+    return finish(closeness(_g(spark, sf), k=32))
+
+
+@register("node_features")
+def q_node_features(spark, sf):
+    """The 28-column node table."""
+    from ..operators.graph.table import node_features
+    return finish(node_features(ad.graph_transactions(spark, sf), pivots=16, community_rounds=10))
+
+
+ROLE_COLS = ["degree_centrality", "clustering_coefficient", "triangle_count", "in_degree_weighted",
+             "out_degree_weighted", "local_anomaly_score"]
+NODE_LOCAL = ("nloc", """SELECT d.node, CASE WHEN n > 1 THEN d.degree / (n - 1) ELSE 0.0 END AS degree_centrality,
+       CASE WHEN d.degree > 1 THEN 2.0 * t.tc / (d.degree * (d.degree - 1)) ELSE 0.0 END AS clustering_coefficient,
+       t.tc AS triangle_count, coalesce(i.w, 0.0) AS in_degree_weighted, coalesce(o.w, 0.0) AS out_degree_weighted,
+       CASE WHEN d.degree > 0 THEN least(abs(d.degree - a.avg_nd) / (a.avg_nd + 1), 5.0) ELSE 1.0 END
+         AS local_anomaly_score
+FROM deg d, nn
+JOIN (SELECT node, CAST(triangle_count / 2 AS BIGINT) AS tc FROM tri) t ON t.node = d.node
+LEFT JOIN (SELECT dst AS node, CAST(sum(CAST(weight AS DECIMAL(38,2))) AS DOUBLE) AS w FROM de GROUP BY dst) i
+  ON i.node = d.node
+LEFT JOIN (SELECT src AS node, CAST(sum(CAST(weight AS DECIMAL(38,2))) AS DOUBLE) AS w FROM de GROUP BY src) o
+  ON o.node = d.node
+LEFT JOIN (SELECT a.node, avg(x.degree) AS avg_nd FROM adj a JOIN deg x ON a.nbr = x.node GROUP BY a.node) a
+  ON a.node = d.node""")
+
+
+@register("graph_txn_features", gsql(
+    "SELECT t.txn_id, " + ", ".join(f"coalesce(c.{x}, 0) AS cust_{x}, coalesce(d.{x}, 0) AS dest_{x}" for x in ROLE_COLS)
+    + " FROM txn t LEFT JOIN nloc c ON c.node = t.cust_id LEFT JOIN nloc d ON d.node = t.dest_id",
+    [TRI, NODE_LOCAL]))
+def q_graph_txn_features(spark, sf):
+    """Every transaction with its two accounts' graph features (C2, B7); the
+    graph is the large-transfer graph, so most accounts default to 0."""
+    from ..operators.graph.table import attach_node_features, local_node_table
+    nodes = local_node_table(_g(spark, sf))
+    t = attach_node_features(ad.transactions(spark, sf).select("txn_id", "cust_id", "dest_id"), nodes, ROLE_COLS)
+    return finish(t.select("txn_id", *[f"{p}_{x}" for x in ROLE_COLS for p in ("cust", "dest")]))

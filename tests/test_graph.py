@@ -66,3 +66,27 @@ def test_triangle_sum_is_three_t(spark):
     g = graph(spark, e)
     tri = as_map(lc.triangles(g), "triangle_count")
     assert sum(tri.values()) == 3 * 2
+
+
+def test_star_betweenness_closeness(spark):
+    from ledgerhawk.operators.graph.paths import betweenness, closeness
+    g = graph(spark, [(0, i) for i in range(1, 5)])
+    b = as_map(betweenness(g, k=None), "betweenness_centrality")
+    assert b["0"] == pytest.approx(1.0) and b["1"] == pytest.approx(0.0)
+    c = as_map(closeness(g, k=None), "closeness_centrality")
+    assert c["0"] == pytest.approx(1.0) and c["1"] == pytest.approx(4 / 7)
+
+
+def test_bridge_has_highest_betweenness(spark):
+    from ledgerhawk.operators.graph.paths import betweenness
+    e = [(a, b) for a in range(4) for b in range(a + 1, 4)] + [(a, b) for a in range(4, 8) for b in range(a + 1, 8)]
+    b = as_map(betweenness(graph(spark, e + [(3, 4)]), k=None), "betweenness_centrality")
+    top = sorted(b, key=lambda x: -b[x])[:2]
+    assert set(top) == {"3", "4"}
+
+
+def test_path_betweenness_exact(spark):
+    from ledgerhawk.operators.graph.paths import betweenness
+    b = as_map(betweenness(graph(spark, [(1, 2), (2, 3), (3, 4)]), k=None), "betweenness_centrality")
+    # networkx: path of 4, normalised -> middle nodes 2/3, ends 0
+    assert b["2"] == pytest.approx(2 / 3) and b["1"] == pytest.approx(0.0)
