@@ -130,6 +130,11 @@ def q_temporal(spark, sf):
 
 # ------------------------------------------------------------ iterative, fixed rounds
 def _pagerank_sql(n_rounds: int, alpha: float = 0.85) -> str:
+    ctes, loop = _pagerank_ctes(n_rounds, alpha)
+    return gsql(f"SELECT node, round(pr, {R}) AS pagerank FROM x{n_rounds}", ctes, loop)
+
+
+def _pagerank_ctes(n_rounds: int, alpha: float = 0.85):
     a, b = repr(alpha), repr(1 - alpha)
     ctes = [("ow", "SELECT src, sum(weight) AS ow FROM de GROUP BY src"),
             ("pe", "SELECT de.src, dst, weight / ow AS p FROM de JOIN ow USING (src)"),
@@ -142,7 +147,7 @@ def _pagerank_sql(n_rounds: int, alpha: float = 0.85) -> str:
   + CAST({b} AS DOUBLE) / nn.n AS pr
 FROM nodes LEFT JOIN (SELECT dst AS node, sum(pr * p) AS s FROM pe JOIN {p} ON pe.src = {p}.node GROUP BY dst) c
   USING (node), nn"""))
-    return gsql(f"SELECT node, round(pr, {R}) AS pagerank FROM x{n_rounds}", ctes, loop)
+    return ctes, loop
 
 
 @register("pagerank_n", _pagerank_sql(N_ROUNDS))
@@ -311,3 +316,32 @@ def q_graph_txn_features(spark, sf):
     nodes = local_node_table(_g(spark, sf))
     t = attach_node_features(ad.transactions(spark, sf).select("txn_id", "cust_id", "dest_id"), nodes, ROLE_COLS)
     return finish(t.select("txn_id", *[f"{p}_{x}" for x in ROLE_COLS for p in ("cust", "dest")]))
+
+
+_PR_CTES, _PR_LOOP = _pagerank_ctes(N_ROUNDS)
+
+
+@register("network_statistics", gsql(f"""
+SELECT count(*) AS total_nodes, count(*) FILTER (WHERE is_user) AS user_nodes,
+       count(*) FILTER (WHERE NOT is_user) AS agency_nodes, round(avg(dc), 12) AS avg_degree_centrality,
+       max(dc) AS max_degree_centrality, round(avg(pr), {R}) AS avg_pagerank,
+       count(DISTINCT community_id) AS total_communities, round(avg(community_size), 12) AS avg_community_size
+FROM (SELECT d.node, d.node IN (SELECT src FROM de) AS is_user,
+             CASE WHEN nn.n > 1 THEN d.degree / (nn.n - 1) ELSE 0.0 END AS dc, x.pr, c.community_id, c.community_size
+      FROM deg d, nn JOIN x{N_ROUNDS} x ON x.node = d.node JOIN comm c ON c.node = d.node) t""",
+    _PR_CTES, _PR_LOOP + _lp_sql(N_ROUNDS)))
+def q_network_statistics(spark, sf):
+    """Network statistics view over the node table (D8): node counts by
+    role, mean / max degree centrality, mean PageRank, communities."""
+    g = _g(spark, sf).checkpointed()
+    users = g.directed.select(F.col("src").alias("node")).distinct().withColumn("is_user", F.lit(True))
+    t = (lc.degree_centrality(g).join(it.pagerank(g, max_iter=N_ROUNDS, tol=None), "node")
+         .join(it.label_propagation(g, max_iter=N_ROUNDS), "node").join(users, "node", "left"))
+    u = F.coalesce(F.col("is_user"), F.lit(False))
+    s = t.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if(u).alias("user_nodes"),
+              F.count_if(~u).alias("agency_nodes"), F.round(F.avg("degree_centrality"), 12).alias("avg_degree_centrality"),
+              F.max("degree_centrality").alias("max_degree_centrality"),
+              F.round(F.avg("pagerank"), R).alias("avg_pagerank"),
+              F.countDistinct("community_id").alias("total_communities"),
+              F.round(F.avg("community_size"), 12).alias("avg_community_size"))
+    return finish(s)
