@@ -71,15 +71,20 @@ def oriented_edges(g: Graph) -> DataFrame:
                     F.when(u_first, F.col("v")).otherwise(F.col("u")).alias("b"))
 
 
-def triangles(g: Graph) -> DataFrame:
-    """Triangle count per node."""
+def triangle_list(g: Graph) -> DataFrame:
+    """Every triangle once as (a, b, c), found at its lowest-ranked corner."""
     o = oriented_edges(g)
     w = (o.alias("x").join(o.alias("y"), F.col("x.a") == F.col("y.a"))
          .where(F.col("x.b") < F.col("y.b"))
          .select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c")))
     closed = w.join(o.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).union(
         w.join(o.select(F.col("b").alias("b"), F.col("a").alias("c")), ["b", "c"]).select("b", "c", "a"))
-    tri = closed.select(F.explode(F.array("a", "b", "c")).alias("node"))
+    return closed.select("a", "b", "c")
+
+
+def triangles(g: Graph) -> DataFrame:
+    """Triangle count per node."""
+    tri = triangle_list(g).select(F.explode(F.array("a", "b", "c")).alias("node"))
     cnt = tri.groupBy("node").agg(F.count(F.lit(1)).alias("triangle_count"))
     return g.nodes.join(cnt, "node", "left").fillna(0, ["triangle_count"])
 
@@ -141,3 +146,38 @@ def dataset_stability(g: Graph, ds_edges: DataFrame) -> DataFrame:
                     F.when(multi, F.col("dataset_presence")).otherwise(F.lit(1)).alias("dataset_presence"),
                     F.when(multi, var).otherwise(F.lit(0.0)).alias("degree_variance"),
                     F.when(multi, 1.0 / (1.0 + var)).otherwise(F.lit(1.0)).alias("degree_stability"))
+
+
+def structural_v2(g: Graph) -> DataFrame:
+    """Second-pipeline structural variants from the triangle list (J11-J13 v2):
+    square clustering = sum over triangles (v, x, y) of (triangles on edge
+    x-y minus 1) / (d(d-1)/2); Burt constraint = sum over neighbours j of
+    (1/d + (1/d) * sum over common neighbours q of 1/d_q)^2; effective size
+    = d - 2 * triangles / d."""
+    from ...session import ensure_checkpoint_dir
+    g = g.checkpointed()
+    ensure_checkpoint_dir(g.nodes.sparkSession)
+    t = triangle_list(g).checkpoint(eager=True)   # read three times below
+    corners = (t.select(F.col("a").alias("v"), F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"))
+               .unionByName(t.select(F.col("b").alias("v"), F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y")))
+               .unionByName(t.select(F.col("c").alias("v"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))))
+    te = corners.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_te"))
+    sq = corners.join(te, ["x", "y"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("_te") - 1).alias("_sq"))
+    d = degrees(g)
+    dq = d.select(F.col("node").alias("q"), F.col("degree").alias("_dq"))
+    # ordered (v, j, q) for every triangle: q is a common neighbour of v and j
+    trip = None
+    for v, j, q in (("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")):
+        x = t.select(F.col(v).alias("node"), F.col(j).alias("nbr"), F.col(q).alias("q"))
+        trip = x if trip is None else trip.unionByName(x)
+    ind = trip.join(dq, "q").groupBy("node", "nbr").agg(F.sum(1.0 / F.col("_dq")).alias("_s"))
+    con = (g.adjacency.select("node", "nbr").join(ind, ["node", "nbr"], "left").join(d, "node")
+           .groupBy("node").agg(F.sum(F.pow(1.0 / F.col("degree") + F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("degree"),
+                                            2)).alias("constraint_v2")))
+    tri = corners.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("triangle_count"))
+    x = d.join(tri, "node", "left").fillna(0, ["triangle_count"]).join(sq, "node", "left").join(con, "node", "left")
+    dd = F.col("degree")
+    return x.select("node", F.when(dd > 1, F.coalesce(F.col("_sq"), F.lit(0)) / (dd * (dd - 1) / 2.0))
+                    .otherwise(F.lit(0.0)).alias("square_clustering_v2"),
+                    F.coalesce(F.col("constraint_v2"), F.lit(0.0)).alias("constraint_v2"),
+                    F.when(dd > 0, dd - 2.0 * F.col("triangle_count") / dd).otherwise(F.lit(0.0)).alias("effective_size_v2"))

@@ -345,3 +345,39 @@ def q_network_statistics(spark, sf):
               F.countDistinct("community_id").alias("total_communities"),
               F.round(F.avg("community_size"), 12).alias("avg_community_size"))
     return finish(s)
+
+
+TRI_LIST = ("tl", """SELECT a.node AS a, b.node AS b, c.node AS c FROM adj a JOIN adj b ON a.nbr = b.node
+  JOIN adj c ON b.nbr = c.node AND c.nbr = a.node WHERE a.node < b.node AND b.node < c.node""")
+CORNERS = ("cr", """SELECT a AS v, least(b, c) AS x, greatest(b, c) AS y FROM tl UNION ALL
+  SELECT b, least(a, c), greatest(a, c) FROM tl UNION ALL SELECT c, least(a, b), greatest(a, b) FROM tl""")
+TRIP = ("tp", """SELECT a AS node, b AS nbr, c AS q FROM tl UNION ALL SELECT a, c, b FROM tl UNION ALL
+  SELECT b, a, c FROM tl UNION ALL SELECT b, c, a FROM tl UNION ALL SELECT c, a, b FROM tl UNION ALL
+  SELECT c, b, a FROM tl""")
+
+
+@register("structural_v2", gsql(f"""
+SELECT d.node,
+  CASE WHEN d.degree > 1 THEN coalesce(sq.s, 0) / (d.degree * (d.degree - 1) / 2.0) ELSE 0.0 END AS square_clustering_v2,
+  round(coalesce(cn.c, 0.0), {R}) AS constraint_v2,
+  CASE WHEN d.degree > 0 THEN d.degree - 2.0 * coalesce(tc.t, 0) / d.degree ELSE 0.0 END AS effective_size_v2
+FROM deg d
+LEFT JOIN (SELECT v AS node, sum(te - 1) AS s FROM cr JOIN (SELECT x, y, count(*) AS te FROM cr GROUP BY x, y) e
+           USING (x, y) GROUP BY v) sq ON sq.node = d.node
+LEFT JOIN (SELECT v AS node, count(*) AS t FROM cr GROUP BY v) tc ON tc.node = d.node
+LEFT JOIN (SELECT a.node, sum(pow(1.0 / dg.degree + coalesce(i.s, 0.0) / dg.degree, 2)) AS c
+           FROM adj a JOIN deg dg ON dg.node = a.node
+           LEFT JOIN (SELECT tp.node, tp.nbr, sum(1.0 / dq.degree) AS s FROM tp JOIN deg dq ON dq.node = tp.q
+                      GROUP BY 1, 2) i ON i.node = a.node AND i.nbr = a.nbr
+           GROUP BY a.node) cn ON cn.node = d.node""", [TRI_LIST, CORNERS, TRIP]))
+def q_structural_v2(spark, sf):
+    s = lc.structural_v2(_g(spark, sf))
+    return finish(s.withColumn("constraint_v2", F.round("constraint_v2", R)))
+
+
+@register("flow_concentration_v2", gsql(f"""
+SELECT src AS node, round(sum(pow(weight / t, 2)), {R}) AS concentration_hhi
+FROM de JOIN (SELECT src, sum(weight) AS t FROM de GROUP BY src) USING (src) GROUP BY src"""))
+def q_flow_hhi(spark, sf):
+    """Herfindahl concentration of each account's out-flow (J15 v2)."""
+    return finish(lc.herfindahl(_g(spark, sf)).withColumn("concentration_hhi", F.round("concentration_hhi", R)))
