@@ -154,3 +154,39 @@ def running_totals(df: DataFrame, key: str, ts: str, amount: str, order_id: str)
     return df.select("*", F.min(ts).over(w).alias("first_seen"), F.count(F.lit(1)).over(w).alias("running_count"),
                      F.sum(F.col(amount).cast("decimal(38,2)")).over(w).cast("double").alias("running_volume"),
                      F.max(ts).over(w).alias("last_activity"))
+
+
+HOUR_US = 3600 * 1000000
+
+
+def velocity_windows(df: DataFrame, user: str = "user_id", dest: str = "agency_id", ts: str = "ts",
+                     amount: str = "amount", order_id: str = "txn_id", threshold: float = 10000.0) -> DataFrame:
+    """Trailing velocity features (the survey's documented-only windows):
+    outflow sum / count over (t-1h, t] and (t-24h, t] per user, inflow sum
+    over (t-24h, t] per destination, seconds since the user's previous
+    transaction, repeat destination, share of the user's transactions of the
+    same type, percent rank of the amount in the user's history and an
+    amount just below a reporting threshold (90-100 % of it)."""
+    from ..functions.scalar import epoch_micros, money
+    us = epoch_micros(df, ts)
+    d = df.withColumn("_us", us)
+    w_u = Window.partitionBy(user).orderBy("_us")
+    w1 = w_u.rangeBetween(-HOUR_US + 1, 0)
+    w24 = w_u.rangeBetween(-24 * HOUR_US + 1, 0)
+    w24d = Window.partitionBy(dest).orderBy("_us").rangeBetween(-24 * HOUR_US + 1, 0)
+    w_seq = Window.partitionBy(user).orderBy("_us", order_id)
+    w_pair = Window.partitionBy(user, dest).orderBy("_us", order_id).rowsBetween(Window.unboundedPreceding, -1)
+    a = money(F.col(amount))
+    out = d.select(
+        "*",
+        F.sum(a).over(w1).cast("double").alias("outflow_1h"), F.count(F.lit(1)).over(w1).alias("txn_count_1h"),
+        F.sum(a).over(w24).cast("double").alias("outflow_24h"), F.count(F.lit(1)).over(w24).alias("txn_count_24h"),
+        F.sum(a).over(w24d).cast("double").alias("inflow_24h"),
+        ((F.col("_us") - F.lag("_us").over(w_seq)) / 1e6).alias("seconds_since_last"),
+        (F.count(F.lit(1)).over(w_pair) > 0).alias("repeat_destination"),
+        F.percent_rank().over(Window.partitionBy(user).orderBy(amount)).alias("amount_percent_rank"),
+        ((F.col(amount) >= 0.9 * threshold) & (F.col(amount) < threshold)).alias("just_below_threshold"))
+    tf = df.groupBy(user, "type").agg(F.count(F.lit(1)).alias("_nt"))
+    tot = df.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
+    out = out.join(tf, [user, "type"]).join(tot, user)
+    return out.withColumn("type_frequency", F.col("_nt") / F.col("_n")).drop("_nt", "_n", "_us")

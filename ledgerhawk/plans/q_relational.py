@@ -440,3 +440,34 @@ def q_behavioral_features_train(spark, sf):
                            r6("temporal_behavior_score").alias("temporal_behavior_score"),
                            r6("transaction_behavior_score").alias("transaction_behavior_score"),
                            r6("behavioral_risk_score").alias("behavioral_risk_score")))
+
+
+@register("velocity_1h_24h", with_views("""
+SELECT txn_id, outflow_1h, CAST(txn_count_1h AS BIGINT) AS txn_count_1h, outflow_24h,
+       CAST(txn_count_24h AS BIGINT) AS txn_count_24h, inflow_24h, seconds_since_last, repeat_destination,
+       round(amount_percent_rank, 12) AS amount_percent_rank, just_below_threshold,
+       CAST(nt AS DOUBLE) / n AS type_frequency
+FROM (
+  SELECT b.txn_id, b.user_id, b.type,
+    CAST(sum(CAST(amount AS DECIMAL(38,2))) OVER w1 AS DOUBLE) AS outflow_1h, count(*) OVER w1 AS txn_count_1h,
+    CAST(sum(CAST(amount AS DECIMAL(38,2))) OVER w24 AS DOUBLE) AS outflow_24h, count(*) OVER w24 AS txn_count_24h,
+    CAST(sum(CAST(amount AS DECIMAL(38,2))) OVER (PARTITION BY agency_id ORDER BY epoch_us(ts)
+         RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS DOUBLE) AS inflow_24h,
+    (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), txn_id)) / 1e6
+      AS seconds_since_last,
+    count(*) OVER (PARTITION BY user_id, agency_id ORDER BY epoch_us(ts), txn_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS repeat_destination,
+    percent_rank() OVER (PARTITION BY user_id ORDER BY amount) AS amount_percent_rank,
+    amount >= 9000.0 AND amount < 10000.0 AS just_below_threshold
+  FROM bookings b
+  WINDOW w1 AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW),
+         w24 AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)
+) v
+JOIN (SELECT user_id, type, count(*) AS nt FROM bookings GROUP BY 1, 2) t USING (user_id, type)
+JOIN (SELECT user_id, count(*) AS n FROM bookings GROUP BY 1) u USING (user_id)""", ["bookings"]))
+def q_velocity_windows(spark, sf):
+    v = sq.velocity_windows(ad.bookings(spark, sf))
+    return finish(v.select("txn_id", "outflow_1h", "txn_count_1h", "outflow_24h", "txn_count_24h", "inflow_24h",
+                           "seconds_since_last", "repeat_destination",
+                           F.round("amount_percent_rank", 12).alias("amount_percent_rank"), "just_below_threshold",
+                           "type_frequency"))
