@@ -181,3 +181,22 @@ def structural_v2(g: Graph) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("square_clustering_v2"),
                     F.coalesce(F.col("constraint_v2"), F.lit(0.0)).alias("constraint_v2"),
                     F.when(dd > 0, dd - 2.0 * F.col("triangle_count") / dd).otherwise(F.lit(0.0)).alias("effective_size_v2"))
+
+
+def fraud_exposure(g: Graph, txns: DataFrame, communities: DataFrame, src: str = "cust_id", dst: str = "dest_id",
+                   label: str = "label") -> DataFrame:
+    """Neighbour fraud rate (share of a node's neighbours that took part in
+    a fraud-labelled transfer) and community fraud rate (share of
+    fraud-labelled transfers among those touching the node's community)."""
+    flagged = (txns.where(F.col(label) == 1).select(F.col(src).alias("node"))
+               .union(txns.where(F.col(label) == 1).select(F.col(dst).alias("node"))).distinct()
+               .withColumn("_f", F.lit(1)))
+    nb = (g.adjacency.join(flagged.withColumnRenamed("node", "nbr"), "nbr", "left")
+          .groupBy("node").agg(F.avg(F.coalesce(F.col("_f"), F.lit(0)).cast("double")).alias("neighbor_fraud_rate")))
+    c = communities.select("node", "community_id")
+    t = txns.select(F.col(src).alias("node"), F.col(label).alias("_l"))
+    ct = (t.join(c, "node").groupBy("community_id")
+          .agg((F.sum("_l") / F.count(F.lit(1))).alias("community_fraud_rate")))
+    return (g.nodes.join(nb, "node", "left").join(c, "node", "left").join(ct, "community_id", "left")
+            .select("node", F.coalesce("neighbor_fraud_rate", F.lit(0.0)).alias("neighbor_fraud_rate"),
+                    F.coalesce("community_fraud_rate", F.lit(0.0)).alias("community_fraud_rate")))

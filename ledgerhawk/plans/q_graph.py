@@ -381,3 +381,20 @@ FROM de JOIN (SELECT src, sum(weight) AS t FROM de GROUP BY src) USING (src) GRO
 def q_flow_hhi(spark, sf):
     """Herfindahl concentration of each account's out-flow (J15 v2)."""
     return finish(lc.herfindahl(_g(spark, sf)).withColumn("concentration_hhi", F.round("concentration_hhi", R)))
+
+
+@register("fraud_exposure", gsql("""
+SELECT n.node, coalesce(nb.r, 0.0) AS neighbor_fraud_rate, coalesce(ct.r, 0.0) AS community_fraud_rate
+FROM nodes n
+LEFT JOIN (SELECT a.node, avg(CASE WHEN f.node IS NOT NULL THEN 1.0 ELSE 0.0 END) AS r FROM adj a
+           LEFT JOIN (SELECT cust_id AS node FROM gtxn WHERE label = 1 UNION SELECT dest_id FROM gtxn WHERE label = 1) f
+             ON f.node = a.nbr GROUP BY a.node) nb ON nb.node = n.node
+LEFT JOIN comm c ON c.node = n.node
+LEFT JOIN (SELECT c.community_id, sum(t.label) / count(*) AS r FROM gtxn t JOIN comm c ON c.node = t.cust_id
+           GROUP BY c.community_id) ct ON ct.community_id = c.community_id""", None, _lp_sql(N_ROUNDS)))
+def q_fraud_exposure(spark, sf):
+    """Neighbour and community fraud rates on the account graph (survey
+    §2.E documented-only features)."""
+    t = ad.graph_transactions(spark, sf)
+    g = build_graph(t).checkpointed()
+    return finish(lc.fraud_exposure(g, t, it.label_propagation(g, max_iter=N_ROUNDS)))
