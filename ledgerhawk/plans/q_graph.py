@@ -398,3 +398,37 @@ def q_fraud_exposure(spark, sf):
     t = ad.graph_transactions(spark, sf)
     g = build_graph(t).checkpointed()
     return finish(lc.fraud_exposure(g, t, it.label_propagation(g, max_iter=N_ROUNDS)))
+
+
+FROZEN_COLS = ["degree_centrality", "in_degree_weighted", "out_degree_weighted"]
+_G_TRAIN = [(n, b.replace("FROM gtxn", "FROM gtr")) for n, b in G_BASE]
+
+
+@register("frozen_graph_join", with_views(
+    "SELECT v.txn_id, " + ", ".join(f"coalesce(c.{x}, 0) AS cust_{x}, coalesce(d.{x}, 0) AS dest_{x}"
+                                    for x in FROZEN_COLS)
+    + " FROM (SELECT * FROM sp WHERE NOT is_train) v LEFT JOIN nf c ON c.node = v.cust_id"
+      " LEFT JOIN nf d ON d.node = v.dest_id",
+    ["txn"],
+    [("sp", "SELECT *, row_number() OVER (ORDER BY ts, txn_id) <= floor(count(*) OVER () * 0.8) AS is_train FROM txn"),
+     ("gtr", "SELECT * FROM sp WHERE is_train AND amount >= 95000 AND cust_id <> dest_id")] + _G_TRAIN + [
+        ("nf", """SELECT d.node, CASE WHEN nn.n > 1 THEN d.degree / (nn.n - 1) ELSE 0.0 END AS degree_centrality,
+                  coalesce(i.w, 0.0) AS in_degree_weighted, coalesce(o.w, 0.0) AS out_degree_weighted
+           FROM deg d, nn
+           LEFT JOIN (SELECT dst AS node, CAST(sum(CAST(weight AS DECIMAL(38,2))) AS DOUBLE) AS w FROM de GROUP BY dst) i
+             ON i.node = d.node
+           LEFT JOIN (SELECT src AS node, CAST(sum(CAST(weight AS DECIMAL(38,2))) AS DOUBLE) AS w FROM de GROUP BY src) o
+             ON o.node = d.node""")]))
+def q_frozen_graph_join(spark, sf):
+    """Leakage-safe order (C3): split in time first, build the graph and its
+    node features from the earlier 80 % only, attach them to the later 20 %
+    (unknown accounts -> 0)."""
+    from ..operators.graph.table import attach_node_features
+    from ..operators.sampling import time_split
+    s = time_split(ad.transactions(spark, sf), "ts", "txn_id", 0.8)
+    train = s.where(F.col("is_train") & (F.col("amount") >= 95000) & (F.col("cust_id") != F.col("dest_id")))
+    g = build_graph(train)
+    nodes = lc.degree_centrality(g).join(lc.flow(g).select("node", "in_degree_weighted", "out_degree_weighted"), "node")
+    val = s.where(~F.col("is_train")).select("txn_id", "cust_id", "dest_id")
+    out = attach_node_features(val, nodes, FROZEN_COLS)
+    return finish(out.select("txn_id", *[f"{p}_{x}" for x in FROZEN_COLS for p in ("cust", "dest")]))
