@@ -99,3 +99,34 @@ def prefix_sums(df: DataFrame, order: list[str], cols: list[str], by: str | None
         out = out.join(start, by).select(*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_s_{c}")).alias(f"{prefix}{c}")
                                                         for c in cols])
     return out
+
+
+def time_window(df: DataFrame, key: str, t: str, order: list[str], span: int,
+                build: Callable[[Window], list[Column]], mode: str = "auto", blocks: int | None = None,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Like ``sequence_window`` for frames that look back at most ``span``
+    units of the numeric time column ``t`` (range frames).  A block's first
+    key only needs the rows of that key within ``span`` before the block
+    starts; those lie in earlier blocks' last-key tails (rows within
+    ``span`` of that block's latest time), so the context is bounded by the
+    key's activity inside one look-back span."""
+    if mode == "auto":
+        top = df.groupBy(key).count().agg(F.max("count")).first()[0]
+        mode = "split" if top is not None and top > hot_rows else "plain"
+    if mode == "plain":
+        return _plain(df, key, [t] + order, build)
+    spark = df.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = df.columns
+    r = _blocked(df, blocks, [key, t] + order)
+    bounds = r.groupBy("_blk").agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+    last_rows = r.join(F.broadcast(bounds.select("_blk", F.col("_kmax").alias(key))), ["_blk", key])
+    tmax = last_rows.groupBy("_blk").agg(F.max(t).alias("_tmax"))
+    tail = last_rows.join(F.broadcast(tmax), "_blk").where(F.col(t) >= F.col("_tmax") - span).drop("_tmax")
+    first_rows = r.join(F.broadcast(bounds.select("_blk", F.col("_kmin").alias(key))), ["_blk", key])
+    heads = first_rows.groupBy("_blk", key).agg(F.min(t).alias("_tmin")).withColumnRenamed("_blk", "_hblk")
+    ctx = (heads.join(tail, key).where((F.col("_blk") < F.col("_hblk")) & (F.col(t) >= F.col("_tmin") - span))
+           .select(*cols, F.col("_hblk").alias("_blk"), F.lit(True).alias("_ctx")))
+    data = r.withColumn("_ctx", F.lit(False)).unionByName(ctx)
+    w = Window.partitionBy(key, "_blk").orderBy(t, *order)
+    return data.select("*", *build(w)).where(~F.col("_ctx")).drop("_blk", "_ctx")

@@ -33,16 +33,24 @@ HOUR_MICROS = 3600 * 1000000
 
 
 def velocity_6h(df: DataFrame, key: str = "agency_id", ts: str = "ts", amount: str = "amount",
-                hours: int = 6) -> DataFrame:
+                hours: int = 6, mode: str = "auto") -> DataFrame:
     """Trailing-window velocity risk per agency.
 
     History = earlier rows of the same agency with time in (t-6h, t); rows
     with an equal timestamp are not history.  Range frames on the micro
-    timestamp give count / sum / avg in one sorted pass per agency."""
-    us = epoch_micros(df, ts)
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-hours * HOUR_MICROS + 1, -1)
-    out = df.select("*", F.count(F.lit(1)).over(w).alias("recent_count"),
-                    F.sum(money(F.col(amount))).over(w).cast("double").alias("recent_sum"))
+    timestamp give count / sum / avg in one sorted pass; a hot agency is
+    split into time blocks with ``time_window`` (context = its rows of the
+    previous 6 hours only)."""
+    from ..ordered import time_window
+    d = df.withColumn("_us", epoch_micros(df, ts))
+
+    def build(w):
+        f = w.rangeBetween(-hours * HOUR_MICROS + 1, -1)
+        return [F.count(F.lit(1)).over(f).alias("recent_count"),
+                F.sum(money(F.col(amount))).over(f).cast("double").alias("recent_sum")]
+
+    # range frames need a single order column: the window orders by _us only
+    out = time_window(d, key, "_us", [], hours * HOUR_MICROS, build, mode=mode).drop("_us")
     n, s, a = F.col("recent_count"), F.coalesce(F.col("recent_sum"), F.lit(0.0)), F.col(amount)
     avg = F.try_divide(s, n)
     total = s + a

@@ -57,3 +57,15 @@ def test_exact_quantiles_empty_and_single(spark):
     df = spark.createDataFrame([(1.0,)], ["x"])
     assert exact_quantiles(df, "x", [0.5]) == [1.0]
     assert exact_quantiles(df.where("x > 5"), "x", [0.5]) == [None]
+
+
+def test_time_window_split_equals_plain(spark):
+    from ledgerhawk.operators.rules.decision import velocity_6h
+    from ledgerhawk.sources import adapters as ad
+    b = ad.bookings(spark, "/root/testdata/sf0.01").select("txn_id", "agency_id", "ts", "amount")
+    # one hot agency: fold all bookings onto agency 0 as well
+    hot = b.unionByName(b.withColumn("agency_id", F.lit(99)).withColumn("txn_id", F.col("txn_id") + 10**7))
+    cols = ["txn_id", "recent_count", "recent_sum", "realtime_score"]
+    plain = velocity_6h(hot, mode="plain").select(*cols)
+    split = velocity_6h(hot, mode="split").select(*cols)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
