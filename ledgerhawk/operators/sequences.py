@@ -160,33 +160,50 @@ HOUR_US = 3600 * 1000000
 
 
 def velocity_windows(df: DataFrame, user: str = "user_id", dest: str = "agency_id", ts: str = "ts",
-                     amount: str = "amount", order_id: str = "txn_id", threshold: float = 10000.0) -> DataFrame:
+                     amount: str = "amount", order_id: str = "txn_id", threshold: float = 10000.0,
+                     mode: str = "auto") -> DataFrame:
     """Trailing velocity features (the survey's documented-only windows):
     outflow sum / count over (t-1h, t] and (t-24h, t] per user, inflow sum
     over (t-24h, t] per destination, seconds since the user's previous
     transaction, repeat destination, share of the user's transactions of the
     same type, percent rank of the amount in the user's history and an
-    amount just below a reporting threshold (90-100 % of it)."""
+    amount just below a reporting threshold (90-100 % of it).
+
+    Every piece is skew-safe: time frames via ``time_window``, the lag via
+    ``sequence_window``, repeat destination via a per-pair minimum joined
+    back, and the percent rank from per-(user, amount) counts and
+    ``prefix_sums`` (rank = rows of the user with a smaller amount)."""
     from ..functions.scalar import epoch_micros, money
-    us = epoch_micros(df, ts)
-    d = df.withColumn("_us", us)
-    w_u = Window.partitionBy(user).orderBy("_us")
-    w1 = w_u.rangeBetween(-HOUR_US + 1, 0)
-    w24 = w_u.rangeBetween(-24 * HOUR_US + 1, 0)
-    w24d = Window.partitionBy(dest).orderBy("_us").rangeBetween(-24 * HOUR_US + 1, 0)
-    w_seq = Window.partitionBy(user).orderBy("_us", order_id)
-    w_pair = Window.partitionBy(user, dest).orderBy("_us", order_id).rowsBetween(Window.unboundedPreceding, -1)
+    from .ordered import prefix_sums, time_window
+    d = df.withColumn("_us", epoch_micros(df, ts))
     a = money(F.col(amount))
-    out = d.select(
-        "*",
-        F.sum(a).over(w1).cast("double").alias("outflow_1h"), F.count(F.lit(1)).over(w1).alias("txn_count_1h"),
-        F.sum(a).over(w24).cast("double").alias("outflow_24h"), F.count(F.lit(1)).over(w24).alias("txn_count_24h"),
-        F.sum(a).over(w24d).cast("double").alias("inflow_24h"),
-        ((F.col("_us") - F.lag("_us").over(w_seq)) / 1e6).alias("seconds_since_last"),
-        (F.count(F.lit(1)).over(w_pair) > 0).alias("repeat_destination"),
-        F.percent_rank().over(Window.partitionBy(user).orderBy(amount)).alias("amount_percent_rank"),
-        ((F.col(amount) >= 0.9 * threshold) & (F.col(amount) < threshold)).alias("just_below_threshold"))
+
+    def user_frames(w):
+        w1, w24 = w.rangeBetween(-HOUR_US + 1, 0), w.rangeBetween(-24 * HOUR_US + 1, 0)
+        return [F.sum(a).over(w1).cast("double").alias("outflow_1h"), F.count(F.lit(1)).over(w1).alias("txn_count_1h"),
+                F.sum(a).over(w24).cast("double").alias("outflow_24h"),
+                F.count(F.lit(1)).over(w24).alias("txn_count_24h")]
+
+    def dest_frame(w):
+        return [F.sum(a).over(w.rangeBetween(-24 * HOUR_US + 1, 0)).cast("double").alias("inflow_24h")]
+
+    def gap(w):
+        return [((F.col("_us") - F.lag("_us").over(w)) / 1e6).alias("seconds_since_last")]
+
+    out = time_window(d, user, "_us", [], 24 * HOUR_US, user_frames, mode=mode)
+    out = time_window(out, dest, "_us", [], 24 * HOUR_US, dest_frame, mode=mode)
+    out = sequence_window(out, user, ["_us", order_id], 1, gap, mode=mode)
+    first = d.groupBy(user, dest).agg(F.min(F.struct("_us", order_id)).alias("_first"))
+    out = out.join(first, [user, dest]).withColumn(
+        "repeat_destination", F.struct("_us", order_id) != F.col("_first")).drop("_first")
+    counts = d.groupBy(user, amount).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = prefix_sums(counts, [amount], ["_c"], by=user)
+    tot = d.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = ranks.join(tot, user).select(
+        user, amount, F.when(F.col("_n") > 1, (F.col("cum__c") - F.col("_c")) / (F.col("_n") - 1))
+        .otherwise(F.lit(0.0)).alias("amount_percent_rank"))
+    out = out.join(ranks, [user, amount]).withColumn(
+        "just_below_threshold", (F.col(amount) >= 0.9 * threshold) & (F.col(amount) < threshold))
     tf = df.groupBy(user, "type").agg(F.count(F.lit(1)).alias("_nt"))
-    tot = df.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
     out = out.join(tf, [user, "type"]).join(tot, user)
     return out.withColumn("type_frequency", F.col("_nt") / F.col("_n")).drop("_nt", "_n", "_us")

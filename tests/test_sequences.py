@@ -69,3 +69,14 @@ def test_time_window_split_equals_plain(spark):
     plain = velocity_6h(hot, mode="plain").select(*cols)
     split = velocity_6h(hot, mode="split").select(*cols)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_velocity_windows_split_equals_plain(spark):
+    from ledgerhawk.operators.sequences import velocity_windows
+    from ledgerhawk.sources import adapters as ad
+    b = ad.bookings(spark, "/root/testdata/sf0.001")
+    cols = ["txn_id", "outflow_1h", "txn_count_24h", "inflow_24h", "seconds_since_last", "repeat_destination",
+            "amount_percent_rank"]
+    plain = velocity_windows(b, mode="plain").select(*cols)
+    split = velocity_windows(b, mode="split").select(*cols)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
