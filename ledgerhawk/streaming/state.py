@@ -61,13 +61,22 @@ def anomalies(logs: DataFrame, order_id: str = "event_id") -> DataFrame:
       user's latest 101 positive response times (current included);
     * high_api_frequency (high): more than 100 calls in the event hour so far.
     """
-    hour = F.date_trunc("hour", F.col("ts"))
-    w_hour = Window.partitionBy("user_id", hour).orderBy("ts", order_id).rowsBetween(Window.unboundedPreceding, 0)
-    w_rt = Window.partitionBy("user_id").orderBy("ts", order_id).rowsBetween(-(RESPONSE_HISTORY - 1), 0)
+    from ..operators.ordered import prefix_sums, sequence_window
     rt = F.col("response_time")
-    d = logs.select("*", F.count(F.lit(1)).over(w_hour).alias("_calls"),
-                    F.sum((F.col("status_code") >= 400).cast("int")).over(w_hour).alias("_errors"),
-                    F.coalesce(F.avg(F.when(rt > 0, rt)).over(w_rt), F.lit(1.0)).alias("_avg_rt"))
+    base = logs.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    # running calls / errors inside the user's event hour: prefix sums per
+    # (user, hour) key, so a hot user-hour is split over blocks
+    hk = F.concat_ws("|", F.col("user_id"), F.date_format(F.date_trunc("hour", F.col("ts")), "yyyy-MM-dd HH"))
+    cnt = base.select(order_id, hk.alias("_uh"), "_us", F.lit(1).alias("_one"),
+                      (F.col("status_code") >= 400).cast("int").alias("_err"))
+    run = prefix_sums(cnt, ["_us", order_id], ["_one", "_err"], by="_uh").select(
+        order_id, F.col("cum__one").alias("_calls"), F.col("cum__err").alias("_errors"))
+
+    def mean_rt(w):
+        f = w.rowsBetween(-(RESPONSE_HISTORY - 1), 0)
+        return [F.coalesce(F.avg(F.when(rt > 0, rt)).over(f), F.lit(1.0)).alias("_avg_rt")]
+
+    d = sequence_window(base, "user_id", ["_us", order_id], RESPONSE_HISTORY - 1, mean_rt).join(run, order_id)
     found = F.filter(F.array(
         F.when((F.col("status_code") >= 500) & (F.col("_errors") > ERRORS_PER_HOUR),
                F.struct(F.lit("high_error_rate").alias("type"), F.lit("medium").alias("severity"))),
