@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, orc_tokens, slack_packing
+from . import content_sort, edit_embedding, orc_tokens, parity_join, slack_packing
 from .common import documents, new_path
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op2_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack_documents(documents(spark, sf_dir), bpe())
@@ -38,6 +43,11 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+@query
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-ids")
