@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, edit_embedding, orc_tokens, parity_join, slack_packing
+from . import chunk_table, content_sort, edit_embedding, orc_tokens, parity_join, slack_packing
 from .common import documents, new_path
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+@query
+def op7_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_table.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(documents(spark, sf_dir))
