@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_table, content_sort, edit_embedding, orc_tokens, parity_join, slack_packing
+from . import chunk_table, content_sort, edit_embedding, orc_tokens, parity_join, sanitise, slack_packing
 from .common import documents, new_path
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.personal_data(documents(spark, sf_dir))
+
+
 @query
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-ids")
