@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_table, content_sort, edit_embedding, orc_tokens, parity_join, sanitise, slack_packing
-from .common import documents, new_path
+from . import chunk_table, content_sort, edit_embedding, line_crf, orc_tokens, parity_join, sanitise, slack_packing, toxic_grammar
+from .common import documents, new_path, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -43,6 +43,16 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+@query
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_grammar.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_table.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
