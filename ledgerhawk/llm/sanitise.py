@@ -77,8 +77,8 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: Column, hit: Column) -> Column:
     digits = F.regexp_replace(hit, "[^0-9]", "")
     size = F.length(digits)
-    ip = F.forall(F.split(hit, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3)
-                  & (F.coalesce(F.left(F.ltrim(F.lit("0"), p), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
+    ip = F.forall(F.split(hit, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3)
+                  & (F.coalesce(F.left(F.ltrim(p, F.lit("0")), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
     card = F.when(size.between(14, 19), _luhn(digits)).otherwise(False)
     return (F.when(kind == "email", True).when(kind == "ip", ip).when(kind == "card", card).otherwise(size.between(10, 15)))
 
@@ -127,8 +127,8 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = 0.6,
     together = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
     together = stored(together.where(F.col("n_both") >= support), "together")
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
+    # counted before any join: tasks then send a word once, not each time it occurs
     n_term = (docs.select(F.explode(words).alias("term")).where(F.length("term") >= 3)
-              .join(together.select("term").distinct(), "term", "left_semi")
               .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
     n_value = spans.select("row", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -141,11 +141,17 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = 0.6,
     return hits.join(inside, (hits["row"] == inside["row"]) & (F.col("_from") < F.col("stop")) & (F.col("start") < F.col("_to")), "left_anti")
 
 
-def all_spans(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows that may hold personal data (all columns, and a row number) and their
-    spans (row, kind, start, stop)."""
-    held = stored(docs.where(_may_hold(F.col("text"))).withColumn("row", F.monotonically_increasing_id()), "held")
-    spans = stored(base_spans(held.select("row", "text")), "spans")
+def _new_name(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def all_spans(docs: DataFrame, row: str, disclosure: float = 0.6, support: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows that may hold personal data (all columns, and a row number in the
+    new column ``row``) and their spans (row, kind, start, stop)."""
+    held = stored(docs.where(_may_hold(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "held")
+    spans = stored(base_spans(held.select(F.col(row).alias("row"), "text")), "spans")
     terms = revealing_terms(docs, spans, disclosure, support)
     both = spans.select("row", "kind", "start", "stop").unionByName(terms.withColumn("kind", F.lit("term")).select("row", "kind", "start", "stop"))
     return held, both
@@ -160,7 +166,7 @@ def _listed(spans: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held, spans = all_spans(docs, disclosure, support)
+    held, spans = all_spans(docs, "row", disclosure, support)
     listed = held.select("row", "doc_id").join(_listed(spans), "row", "left")
     clean = docs.where(~_may_hold(F.col("text"))).select("doc_id")
     none = F.lit(None).cast("array<struct<start:bigint,rank:bigint,stop:bigint,kind:string>>")
@@ -177,7 +183,8 @@ def sanitise(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> Data
     """``docs`` with personal data and revealing terms replaced by their kind in
     brackets; all columns and rows stay.  Overlapping spans are replaced as one,
     by the kind of the first."""
-    held, spans = all_spans(docs, disclosure, support)
+    row, spans_of = _new_name("_row", docs.columns), _new_name("_spans", docs.columns)
+    held, spans = all_spans(docs, row, disclosure, support)
     listed = _listed(spans)
     begin = F.struct(F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>").alias("out"), F.lit(0).cast("long").alias("end"))
 
@@ -188,12 +195,12 @@ def sanitise(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> Data
             .otherwise(acc["out"]).alias("out"), F.greatest(s["stop"], acc["end"]).alias("end"))
 
     label = F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
-    marked = held.join(listed.select("row", F.aggregate("spans", begin, merge)["out"].alias("_spans")), "row", "left")
-    text, out = F.col("text"), F.col("_spans")
+    marked = held.join(listed.select(F.col("row").alias(row), F.aggregate("spans", begin, merge)["out"].alias(spans_of)), row, "left")
+    text, out = F.col("text"), F.col(spans_of)
     pieces = F.transform(out, lambda s, i: F.concat(
         F.substr(text, (F.coalesce(F.get(out, i - 1)["stop"], F.lit(0)) + 1).cast("int"),
                  (s["start"] - F.coalesce(F.get(out, i - 1)["stop"], F.lit(0))).cast("int")), F.element_at(label, s["kind"])))
     tail = F.substr(text, (F.get(out, F.size(out) - 1)["stop"] + 1).cast("int"))
     cleaned = F.when(F.size(out) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    done = marked.withColumn("text", cleaned).drop("_spans", "row")
+    done = marked.withColumn("text", cleaned)
     return done.select(docs.columns).unionByName(docs.where(~_may_hold(F.col("text"))))
