@@ -68,18 +68,17 @@ def oriented_edges(g: Graph) -> DataFrame:
          .join(d.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v"))
     u_first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     return e.select(F.when(u_first, F.col("u")).otherwise(F.col("v")).alias("a"),
-                    F.when(u_first, F.col("v")).otherwise(F.col("u")).alias("b"))
+                    F.when(u_first, F.col("v")).otherwise(F.col("u")).alias("b"), F.greatest("du", "dv").alias("db"))
 
 
 def triangle_list(g: Graph) -> DataFrame:
-    """Every triangle once as (a, b, c), found at its lowest-ranked corner."""
+    """Every triangle once as (a, b, c) in order of rank: a wedge at its
+    lowest-ranked corner is closed by the one edge b -> c."""
     o = oriented_edges(g)
-    w = (o.alias("x").join(o.alias("y"), F.col("x.a") == F.col("y.a"))
-         .where(F.col("x.b") < F.col("y.b"))
+    x, y = F.struct("x.db", "x.b"), F.struct("y.db", "y.b")
+    w = (o.alias("x").join(o.alias("y"), F.col("x.a") == F.col("y.a")).where(x < y)
          .select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c")))
-    closed = w.join(o.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).union(
-        w.join(o.select(F.col("b").alias("b"), F.col("a").alias("c")), ["b", "c"]).select("b", "c", "a"))
-    return closed.select("a", "b", "c")
+    return w.join(o.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
 
 
 def triangles(g: Graph) -> DataFrame:

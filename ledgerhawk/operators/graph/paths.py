@@ -1,15 +1,14 @@
 """Shortest-path measures (J3 betweenness, J5 closeness) by multi-source
 breadth-first search over DataFrames.
 
-``k`` pivot sources (the ``k`` smallest ``xxhash64`` of the node id, so the
-choice is deterministic) are expanded level by level: the frontier is
+Betweenness expands its sources level by level (all nodes, unless the caller
+asks for ``k`` pivots, the ``k`` smallest ``xxhash64`` of the node id): the frontier is
 joined with the adjacency list, path counts (sigma) are summed per
 (source, node), and nodes already reached are removed with an anti join.
-Dependencies are then pushed back level by level (Brandes).  With ``k``
-equal to the node count both measures are exact; with fewer pivots
-betweenness is scaled by n / k (the reference's sampled estimator) and
-closeness uses the pivot-distance estimate.  Work is O(k * m) rows; the
-visited table is checkpointed every few levels.
+Dependencies are then pushed back level by level (Brandes).  With pivots
+betweenness is scaled by n / k (the reference's sampled estimator).  Work is
+O(sources * edges) rows; the visited table is checkpointed every few levels.
+Closeness is exact, from bitmaps of sources.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...session import ensure_checkpoint_dir
+from ...session import cut_lineage
 from .build import Graph
 
 
@@ -30,23 +29,25 @@ def _bfs(g: Graph, k: int | None, checkpoint_every: int = 3) -> tuple[DataFrame,
     adj = g.adjacency.select(F.col("node").alias("v"), F.col("nbr").alias("w"))
     frontier = src.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma"))
     visited = frontier.withColumn("d", F.lit(0))
+    recent = frontier.select("s", "v")
     level = 0
-    ensure_checkpoint_dir(g.nodes.sparkSession)
     while True:
         cand = (frontier.join(adj, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma")))
-        new = cand.join(visited.select("s", "v"), ["s", "v"], "left_anti")
+        # in an undirected search a neighbour lies in the last level, the one before, or is new
+        new = cand.join(recent.select("s", "v"), ["s", "v"], "left_anti")
         level += 1
-        new = new.withColumn("d", F.lit(level)).checkpoint(eager=True)
+        new = cut_lineage(new.withColumn("d", F.lit(level)))
         if new.limit(1).count() == 0:
             break
         visited = visited.unionByName(new)
         if level % checkpoint_every == 0:
-            visited = visited.checkpoint(eager=True)
+            visited = cut_lineage(visited)
+        recent = frontier.select("s", "v").unionByName(new.select("s", "v"))
         frontier = new.select("s", "v", "sigma")
-    return visited.checkpoint(eager=True), n, k
+    return cut_lineage(visited), n, k
 
 
-def betweenness(g: Graph, k: int | None = 64, normalized: bool = True) -> DataFrame:
+def betweenness(g: Graph, k: int | None = None, normalized: bool = True) -> DataFrame:
     """Brandes betweenness from ``k`` pivots, scaled like the reference
     library (1/((n-1)(n-2)) when normalised, x n/k when sampled) (J3)."""
     visited, n, k = _bfs(g, k)
@@ -61,7 +62,7 @@ def betweenness(g: Graph, k: int | None = 64, normalized: bool = True) -> DataFr
         contrib = (lower.join(adj, "v").join(upper, ["s", "w"])
                    .groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("delta"))).alias("delta")))
         delta = lower.select("s", "v").join(contrib, ["s", "v"], "left").fillna(0.0, ["delta"])
-        delta = delta.checkpoint(eager=True)
+        delta = cut_lineage(delta)
         total = total.unionByName(delta)
     b = total.where(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("_b"))
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else 0.5
@@ -70,17 +71,54 @@ def betweenness(g: Graph, k: int | None = 64, normalized: bool = True) -> DataFr
             .select("node", (F.coalesce(F.col("_b"), F.lit(0.0)) * scale).alias("betweenness_centrality")))
 
 
-def closeness(g: Graph, k: int | None = None) -> DataFrame:
-    """Closeness with the reference library's component scaling:
-    (r-1)/sum(d) * (r-1)/(n-1), r = nodes reached (exact when every node is
-    a source; the undirected distance d(s, u) = d(u, s) lets pivot BFS
-    trees estimate it otherwise) (J5)."""
-    visited, n, k = _bfs(g, k)
-    if k >= n:
-        per = visited.groupBy(F.col("s").alias("node")).agg(F.sum("d").alias("_tot"), F.count(F.lit(1)).alias("_r"))
-        r1 = F.col("_r") - 1
-        c = F.when((F.col("_tot") > 0) & (n > 1), r1 / F.col("_tot") * (r1 / (n - 1))).otherwise(F.lit(0.0))
-        return g.nodes.join(per, "node", "left").select("node", F.coalesce(c, F.lit(0.0)).alias("closeness_centrality"))
-    per = visited.groupBy(F.col("v").alias("node")).agg(F.avg("d").alias("_avg"))
-    est = F.when(F.col("_avg") > 0, 1.0 / (F.col("_avg") * n / (n - 1))).otherwise(F.lit(0.0))
-    return g.nodes.join(per, "node", "left").select("node", F.coalesce(est, F.lit(0.0)).alias("closeness_centrality"))
+#: Sources of one batch: the bits of Spark's bitmap aggregates (4 KB a node).
+BATCH = 4096 * 8
+
+
+def closeness(g: Graph) -> DataFrame:
+    """Exact closeness with the reference library's component scaling:
+    (r-1)/sum(d) * (r-1)/(n-1), r = nodes reached (J5).
+
+    Sources are taken in batches of ``BATCH``; each node holds a bitmap of the
+    batch's sources within d steps, and a round ORs the neighbours' bitmaps,
+    which partial aggregation does map-side.  Distances are symmetric, so the
+    new bits of a round are nodes at distance d.  Ends when no bit is new."""
+    g = g.checkpointed()
+    n = g.nodes.count()
+    numbered = cut_lineage(prefix_number(g.nodes, "node").withColumn("_batch", F.floor(F.col("_no") / BATCH)))
+    adj = g.adjacency.select("node", "nbr")
+    total = None
+    for batch in range(-(-n // BATCH)):
+        source = numbered.where(F.col("_batch") == batch).select("node", (F.col("_no") - batch * BATCH).alias("_bit"))
+        seen = source.groupBy("node").agg(F.bitmap_construct_agg(F.col("_bit")).alias("bits"))
+        far, d = None, 0
+        while True:
+            d += 1
+            reach = adj.join(seen.select(F.col("node").alias("nbr"), "bits"), "nbr").select("node", "bits")
+            had = F.coalesce(F.bitmap_count("had"), F.lit(0))
+            grown = (reach.withColumn("own", F.lit(None).cast("binary"))
+                     .unionByName(seen.select("node", "bits", F.col("bits").alias("own")))
+                     .groupBy("node").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("own").alias("had")))
+            grown = cut_lineage(grown.select("node", "bits", (F.bitmap_count("bits") - had).alias("fresh")))
+            step = grown.where("fresh > 0").select("node", (F.col("fresh") * d).alias("tot"), "fresh")
+            if step.limit(1).count() == 0:
+                break
+            far = step if far is None else far.unionByName(step)
+            seen = grown.select("node", "bits")
+        if far is not None:
+            total = far if total is None else total.unionByName(far)
+    if total is None:
+        return g.nodes.select("node", F.lit(0.0).alias("closeness_centrality"))
+    per = total.groupBy("node").agg(F.sum("tot").alias("_tot"), F.sum("fresh").alias("_r"))
+    c = F.when((F.col("_tot") > 0) & (n > 1), F.col("_r") / F.col("_tot") * (F.col("_r") / (n - 1))).otherwise(F.lit(0.0))
+    return g.nodes.join(per, "node", "left").select("node", F.coalesce(c, F.lit(0.0)).alias("closeness_centrality"))
+
+
+def prefix_number(nodes: DataFrame, by: str) -> DataFrame:
+    """Number rows 0, 1, ... in order of ``by``: number within a range block plus the block's offset."""
+    from pyspark.sql import Window
+    blocks = cut_lineage(nodes.repartitionByRange(by).withColumn("_block", F.spark_partition_id()))
+    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_start"))  # a row per block
+    own = F.row_number().over(Window.partitionBy("_block").orderBy(by)) - 1
+    return blocks.withColumn("_own", own).join(F.broadcast(starts), "_block").select(by, (F.col("_own") + F.col("_start")).alias("_no"))

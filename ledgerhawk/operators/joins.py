@@ -23,3 +23,15 @@ def join_dimension(df: DataFrame, dim: DataFrame, on, how: str = "left",
 def scalar_row(df: DataFrame) -> DataFrame:
     """A one-row aggregate, marked for broadcast (its size is one row)."""
     return F.broadcast(df)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the keys of ``left`` stay."""
+    renamed = right
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        on = same if on is None else on & same
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])

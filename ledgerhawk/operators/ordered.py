@@ -24,6 +24,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .joins import null_safe_join
+
 HOT_ROWS = 2_000_000
 
 
@@ -34,9 +37,7 @@ def _blocked(df: DataFrame, blocks: int, keys: list[str]) -> DataFrame:
     re-evaluating ``spark_partition_id()`` in each branch, where adaptive
     coalescing may number partitions differently) keeps them consistent,
     and it also survives executor loss."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.repartitionByRange(blocks, *keys).withColumn("_blk", F.spark_partition_id()).checkpoint(eager=True)
+    return cut_lineage(df.repartitionByRange(blocks, *keys).withColumn("_blk", F.spark_partition_id()))
 
 
 def _plain(df: DataFrame, key: str, order: list[str], build: Callable[[Window], list[Column]]) -> DataFrame:
@@ -60,13 +61,12 @@ def sequence_window(df: DataFrame, key: str, order: list[str], m: int,
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
     r = _blocked(df, blocks, [key] + order)
-    bounds = r.groupBy("_blk").agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+    bounds = _bounds(r, key)
     # rows of the last key of every block, newest m per block
-    last_rows = r.join(F.broadcast(bounds.select("_blk", F.col("_kmax").alias(key))), ["_blk", key])
+    last_rows = null_safe_join(r, F.broadcast(bounds.select("_blk", F.col("_kmax").alias(key))), ["_blk", key], "left_semi")
     newest = Window.partitionBy("_blk").orderBy(*[F.col(o).desc() for o in order])
     tail = last_rows.withColumn("_rb", F.row_number().over(newest)).where(F.col("_rb") <= m).drop("_rb")
-    heads = bounds.select(F.col("_blk").alias("_hblk"), F.col("_kmin").alias(key))
-    ctx = heads.join(tail, key).where(F.col("_blk") < F.col("_hblk"))
+    ctx = null_safe_join(tail, F.broadcast(_nearest(bounds, tail, m)), ["_blk"])
     pick = Window.partitionBy("_hblk").orderBy(*[F.col(o).desc() for o in order])
     ctx = (ctx.withColumn("_rc", F.row_number().over(pick)).where(F.col("_rc") <= m)
            .select(*cols, F.col("_hblk").alias("_blk"), F.lit(True).alias("_ctx")))
@@ -76,6 +76,33 @@ def sequence_window(df: DataFrame, key: str, order: list[str], m: int,
     return out.where(~F.col("_ctx")).drop("_blk", "_ctx")
 
 
+def _bounds(r: DataFrame, key: str) -> DataFrame:
+    """First and last key of every block, null smallest as in the sort order."""
+    k = F.struct(F.col(key).alias("k"))
+    return r.groupBy("_blk").agg(F.min(k)["k"].alias("_kmin"), F.max(k)["k"].alias("_kmax"))
+
+
+def _nearest(bounds: DataFrame, tail: DataFrame, m: int) -> DataFrame:
+    """(_blk, _hblk): for every block, the nearest earlier blocks whose tails
+    hold the last ``m`` rows of its first key.  Blocks of one key follow one
+    another, so running counts over the blocks of a key tell how far back to
+    go; counts are matched in steps of ``m``, so a key in very many blocks
+    gives a few pairs a block, not all pairs."""
+    held = bounds.join(tail.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")), "_blk")
+    upto = Window.partitionBy("_kmax").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("_cum", F.sum("_n").over(upto))
+    before = Window.orderBy("_blk")  # one row per block
+    heads = held.select(F.col("_blk").alias("_hblk"), "_kmin", F.lag("_kmax").over(before).alias("_pk"),
+                        F.lag("_cum").over(before).alias("_total"))
+    heads = heads.where(F.col("_total").isNotNull() & F.col("_kmin").eqNullSafe(F.col("_pk")))
+    step = F.floor(F.col("_total") / m)
+    heads = heads.select("_hblk", F.col("_kmin").alias("_key"), "_total", F.explode(F.array(step, step - 1)).alias("_step"))
+    from_ = held.select("_blk", F.col("_kmax").alias("_k"), "_cum", F.floor(F.col("_cum") / m).alias("_s"))
+    on = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_step") == F.col("_s"))
+    return (heads.join(from_, on).where((F.col("_blk") < F.col("_hblk")) & (F.col("_total") - F.col("_cum") < m))
+            .select("_blk", "_hblk"))
+
+
 def prefix_sums(df: DataFrame, order: list[str], cols: list[str], by: str | None = None,
                 blocks: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Running sums of ``cols`` in ``order`` (restarting per ``by``),
@@ -96,7 +123,7 @@ def prefix_sums(df: DataFrame, order: list[str], cols: list[str], by: str | None
         *df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in cols])
     if by:
         start = out.groupBy(by).agg(*[F.min(F.col(f"{prefix}{c}") - F.col(c)).alias(f"_s_{c}") for c in cols])
-        out = out.join(start, by).select(*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_s_{c}")).alias(f"{prefix}{c}")
+        out = null_safe_join(out, start, [by]).select(*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_s_{c}")).alias(f"{prefix}{c}")
                                                         for c in cols])
     return out
 
@@ -119,13 +146,13 @@ def time_window(df: DataFrame, key: str, t: str, order: list[str], span: int,
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
     r = _blocked(df, blocks, [key, t] + order)
-    bounds = r.groupBy("_blk").agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
-    last_rows = r.join(F.broadcast(bounds.select("_blk", F.col("_kmax").alias(key))), ["_blk", key])
+    bounds = _bounds(r, key)
+    last_rows = null_safe_join(r, F.broadcast(bounds.select("_blk", F.col("_kmax").alias(key))), ["_blk", key], "left_semi")
     tmax = last_rows.groupBy("_blk").agg(F.max(t).alias("_tmax"))
     tail = last_rows.join(F.broadcast(tmax), "_blk").where(F.col(t) >= F.col("_tmax") - span).drop("_tmax")
-    first_rows = r.join(F.broadcast(bounds.select("_blk", F.col("_kmin").alias(key))), ["_blk", key])
+    first_rows = null_safe_join(r, F.broadcast(bounds.select("_blk", F.col("_kmin").alias(key))), ["_blk", key], "left_semi")
     heads = first_rows.groupBy("_blk", key).agg(F.min(t).alias("_tmin")).withColumnRenamed("_blk", "_hblk")
-    ctx = (heads.join(tail, key).where((F.col("_blk") < F.col("_hblk")) & (F.col(t) >= F.col("_tmin") - span))
+    ctx = (null_safe_join(tail, heads, [key]).where((F.col("_blk") < F.col("_hblk")) & (F.col(t) >= F.col("_tmin") - span))
            .select(*cols, F.col("_hblk").alias("_blk"), F.lit(True).alias("_ctx")))
     data = r.withColumn("_ctx", F.lit(False)).unionByName(ctx)
     w = Window.partitionBy(key, "_blk").orderBy(t, *order)

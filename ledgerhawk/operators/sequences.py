@@ -172,8 +172,10 @@ def velocity_windows(df: DataFrame, user: str = "user_id", dest: str = "agency_i
     Every piece is skew-safe: time frames via ``time_window``, the lag via
     ``sequence_window``, repeat destination via a per-pair minimum joined
     back, and the percent rank from per-(user, amount) counts and
-    ``prefix_sums`` (rank = rows of the user with a smaller amount)."""
+    ``prefix_sums`` (rank = rows of the user with a smaller amount).  Every
+    row stays: a null user, destination, type or amount is a value of its own."""
     from ..functions.scalar import epoch_micros, money
+    from .joins import null_safe_join
     from .ordered import prefix_sums, time_window
     d = df.withColumn("_us", epoch_micros(df, ts))
     a = money(F.col(amount))
@@ -194,16 +196,16 @@ def velocity_windows(df: DataFrame, user: str = "user_id", dest: str = "agency_i
     out = time_window(out, dest, "_us", [], 24 * HOUR_US, dest_frame, mode=mode)
     out = sequence_window(out, user, ["_us", order_id], 1, gap, mode=mode)
     first = d.groupBy(user, dest).agg(F.min(F.struct("_us", order_id)).alias("_first"))
-    out = out.join(first, [user, dest]).withColumn(
+    out = null_safe_join(out, first, [user, dest]).withColumn(
         "repeat_destination", F.struct("_us", order_id) != F.col("_first")).drop("_first")
     counts = d.groupBy(user, amount).agg(F.count(F.lit(1)).alias("_c"))
     ranks = prefix_sums(counts, [amount], ["_c"], by=user)
     tot = d.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = ranks.join(tot, user).select(
+    ranks = null_safe_join(ranks, tot, [user]).select(
         user, amount, F.when(F.col("_n") > 1, (F.col("cum__c") - F.col("_c")) / (F.col("_n") - 1))
         .otherwise(F.lit(0.0)).alias("amount_percent_rank"))
-    out = out.join(ranks, [user, amount]).withColumn(
+    out = null_safe_join(out, ranks, [user, amount]).withColumn(
         "just_below_threshold", (F.col(amount) >= 0.9 * threshold) & (F.col(amount) < threshold))
     tf = df.groupBy(user, "type").agg(F.count(F.lit(1)).alias("_nt"))
-    out = out.join(tf, [user, "type"]).join(tot, user)
+    out = null_safe_join(null_safe_join(out, tf, [user, "type"]), tot, [user])
     return out.withColumn("type_frequency", F.col("_nt") / F.col("_n")).drop("_nt", "_n", "_us")

@@ -57,10 +57,4 @@ def r6(c) -> "F.Column":
 
 def load_all() -> None:
     """Import every query module so the registry is filled."""
-    from . import q_relational, q_rules  # noqa: F401
-    for mod in ("q_graph", "q_metrics", "q_streams", "q_ml", "q_profiles"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import q_graph, q_metrics, q_ml, q_profiles, q_relational, q_rules, q_streams  # noqa: F401

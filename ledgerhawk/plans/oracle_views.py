@@ -41,7 +41,7 @@ FROM (
 ) x
 """
 
-VIEWS["gtxn"] = "SELECT * FROM txn WHERE amount >= 95000 AND cust_id <> dest_id"
+VIEWS["gtxn"] = "SELECT * FROM txn WHERE cust_id <> dest_id"
 DEPS["gtxn"] = ["txn"]
 
 VIEWS["bk0"] = """

@@ -1,8 +1,7 @@
 """Session helpers.
 
-Library code never creates its own scratch locations: lineage cuts go to
-the shared folder named by ``spark.checkpoint.dir``.  ``local_session``
-(tests, bench) sets that setting only when it is unset.
+Lineage cuts go to the shared folder named by ``spark.checkpoint.dir``; on a
+cluster that does not name one they fail rather than use a machine's own disk.
 """
 
 from __future__ import annotations
@@ -36,12 +35,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only
-    when the cluster named none (tests on a single machine)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+    Where it is unset, a local master (tests, bench: one machine) gets one of
+    its own; a cluster must name one."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        cur = tempfile.mkdtemp(prefix="lh-ckpt-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        cur = tempfile.mkdtemp(prefix="lh-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cur)
     return cur
+
+
+def cut_lineage(df):
+    """An eager checkpoint that keeps no constraints of the plan behind it: over
+    many rounds those multiply and planning would outlast the work."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)

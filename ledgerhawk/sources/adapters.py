@@ -112,11 +112,10 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
-def graph_transactions(spark: SparkSession, sf_dir: str, min_amount: float = 95000.0) -> DataFrame:
-    """The large-amount slice of ``transactions`` used as the account graph
-    of the graph queries (no self transfers)."""
+def graph_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions between two different accounts: the account graph."""
     t = transactions(spark, sf_dir)
-    return t.filter((F.col("amount") >= min_amount) & (F.col("cust_id") != F.col("dest_id")))
+    return t.filter(F.col("cust_id") != F.col("dest_id"))
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:

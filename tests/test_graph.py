@@ -73,7 +73,7 @@ def test_star_betweenness_closeness(spark):
     g = graph(spark, [(0, i) for i in range(1, 5)])
     b = as_map(betweenness(g, k=None), "betweenness_centrality")
     assert b["0"] == pytest.approx(1.0) and b["1"] == pytest.approx(0.0)
-    c = as_map(closeness(g, k=None), "closeness_centrality")
+    c = as_map(closeness(g), "closeness_centrality")
     assert c["0"] == pytest.approx(1.0) and c["1"] == pytest.approx(4 / 7)
 
 
@@ -90,3 +90,32 @@ def test_path_betweenness_exact(spark):
     b = as_map(betweenness(graph(spark, [(1, 2), (2, 3), (3, 4)]), k=None), "betweenness_centrality")
     # networkx: path of 4, normalised -> middle nodes 2/3, ends 0
     assert b["2"] == pytest.approx(2 / 3) and b["1"] == pytest.approx(0.0)
+
+
+def test_label_propagation_settles_on_edge_star_and_bipartite(spark):
+    for edges in ([(1, 2)], [(0, i) for i in range(1, 7)], [(a, b) for a in (1, 2) for b in (11, 12, 13)]):
+        c = as_map(it.label_propagation(graph(spark, edges)), "community_id")
+        assert len(set(c.values())) == 1
+
+
+def test_unfinished_iterations_raise(spark):
+    path = [(i, i + 1) for i in range(12)]
+    with pytest.raises(it.NotConverged):
+        it.pagerank(graph(spark, path), max_iter=2)
+    with pytest.raises(it.NotConverged):
+        it.kcore(graph(spark, path), max_iter=1)
+    assert set(as_map(it.kcore(graph(spark, path)), "core_number").values()) == {1}
+
+
+def test_katz_without_a_limit_is_zero(spark):
+    clique = [(a, b) for a in range(12) for b in range(12) if a != b]
+    assert set(as_map(it.katz(graph(spark, clique), alpha=0.5), "katz_centrality").values()) == {0.0}
+    k = as_map(it.katz(graph(spark, clique), alpha=0.05, tol=1e-9), "katz_centrality")
+    assert all(v == pytest.approx(1 / 12 ** 0.5) for v in k.values())
+
+
+def test_closeness_of_parts_and_of_a_path(spark):
+    from ledgerhawk.operators.graph.paths import closeness
+    c = as_map(closeness(graph(spark, [(1, 2), (2, 3), (3, 4), (11, 12)])), "closeness_centrality")
+    assert c["1"] == pytest.approx(3 / 6 * 3 / 5) and c["2"] == pytest.approx(3 / 4 * 3 / 5)
+    assert c["11"] == pytest.approx(1 / 1 * 1 / 5)

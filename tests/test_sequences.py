@@ -80,3 +80,48 @@ def test_velocity_windows_split_equals_plain(spark):
     plain = velocity_windows(b, mode="plain").select(*cols)
     split = velocity_windows(b, mode="split").select(*cols)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_null_keys_keep_their_rows_and_split_equals_plain(spark):
+    rows = [(i, None if i % 3 == 0 else f"u{i % 2}", i * 7 % 50, float(i)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, key string, t long, v double")
+
+    def build(w):
+        return [F.lag("v", 2).over(w).alias("before"), F.sum("v").over(w.rowsBetween(-5, 0)).alias("roll")]
+
+    def frame(w):
+        return [F.count(F.lit(1)).over(w.rangeBetween(-9, 0)).alias("n")]
+
+    from ledgerhawk.operators.ordered import prefix_sums, time_window
+    order = lambda d: sorted(map(str, d.collect()))
+    plain = sequence_window(df, "key", ["t", "id"], 5, build, mode="plain")
+    assert order(plain) == order(sequence_window(df, "key", ["t", "id"], 5, build, mode="split", blocks=17).select(plain.columns))
+    plain = time_window(df, "key", "t", [], 9, frame, mode="plain")
+    assert order(plain) == order(time_window(df, "key", "t", [], 9, frame, mode="split", blocks=9).select(plain.columns))
+    sums = prefix_sums(df, ["t", "id"], ["t"], by="key").collect()
+    assert len(sums) == 240
+    for r in sums:
+        assert r.cum_t == sum(x.t for x in sums if x.key == r.key and (x.t, x.id) <= (r.t, r.id))
+
+
+def test_context_grows_with_blocks_not_their_square(spark):
+    from ledgerhawk.operators import ordered
+    df = spark.range(3200).select(F.lit("hot").alias("key"), F.col("id").alias("t"))
+    sizes = []
+    for blocks in (8, 32):
+        r = ordered._blocked(df, blocks, ["key", "t"])
+        bounds = ordered._bounds(r, "key")
+        sizes.append((r.select("_blk").distinct().count(), ordered._nearest(bounds, r, 20).count()))
+    assert all(pairs <= 2 * blocks for blocks, pairs in sizes)
+
+
+def test_velocity_windows_keep_rows_with_nulls(spark):
+    from ledgerhawk.operators.sequences import velocity_windows
+    rows = [(1, "u", "a", "2024-01-01 00:00:00", 5.0, "x"), (2, None, "a", "2024-01-01 00:10:00", 6.0, "x"),
+            (3, "u", None, "2024-01-01 00:20:00", None, "x"), (4, "u", "a", "2024-01-01 00:30:00", 5.0, None)]
+    df = spark.createDataFrame(rows, "txn_id long, user_id string, agency_id string, ts string, amount double, type string")
+    df = df.withColumn("ts", F.to_timestamp("ts"))
+    got = {r.txn_id: r for r in velocity_windows(df).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[4].repeat_destination is True and got[1].repeat_destination is False
+    assert got[4].txn_count_1h == 3 and got[2].type_frequency == 1.0
