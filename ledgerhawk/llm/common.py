@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).  Where it is
     unset, a local master (tests) gets a folder of its own; a cluster must
@@ -29,10 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lost executors then cost
-    no recomputation, and a nondeterministic order is fixed once."""
+    no recomputation, a nondeterministic order is fixed once, and the shuffle
+    files behind the table go as soon as it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +67,17 @@ def texts(docs: DataFrame, *more) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def labelled(docs: DataFrame, known: DataFrame, most: int, salt: int) -> DataFrame:
+    """Texts of at most ``most`` labelled rows (doc_id, ...), taken by a hash of
+    the id.  Their ids are broadcast (``most`` rows), so no text is shuffled."""
+    known = known.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    n = known.count()
+    if n > most:
+        share = int(1_000_000 * 0.95 * most / n)
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < share)
+    return texts(docs).join(F.broadcast(known), "doc_id")
+
+
 def running_start(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add the sum of ``value`` over all rows before, in the order given.
     Rows are dealt into ordered blocks once; a block's own sums are a window,

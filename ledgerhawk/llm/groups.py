@@ -40,58 +40,88 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 8,
-           busy: int = 64, sure: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Components (node, comp) and verified links (a, b).  ``verify`` keeps the
-    pairs (a, b), a < b, that are links.
-
-    ``sure`` names a column of ``members``, a number per (node, ``part``): any
-    partner of the node shares at least so many of its signatures of that part.
-    A node with fewer signatures in groups of over ``busy`` nodes meets each of
-    its partners in a smaller group, so busy groups leave it out.
-    """
+def _without_few(rows: DataFrame, apart: str, rounds: int = 4) -> DataFrame:
+    """Of a stored table (sig, node, part, sure, ...): leave out nodes that have
+    fewer than ``sure`` signatures of a part, and signatures that then hold one
+    value of ``apart`` only; again while that changes something."""
+    for _ in range(rounds):
+        few = rows.groupBy("node", "part").agg((F.count(F.lit(1)) < F.first("sure")).alias("_few")).where("_few").select("node", "part")
+        few = stored(few, "few")
+        if not few.limit(1).count():
+            removed(few)
+            break
+        left = rows.join(few, ["node", "part"], "left_anti")
+        split = left.groupBy("sig").agg(F.min(apart).alias("_lo"), F.max(apart).alias("_hi")).where("_lo <> _hi").select("sig")
+        after = stored(left.join(split, "sig", "left_semi"), "members")
+        removed(few)
+        removed(rows)
+        rows = after
+    return rows
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Of signatures that hold exactly the same nodes, one is enough."""
+    node = F.xxhash64("node")
+    sets = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(node).alias("_x"), F.sum(node.cast("decimal(38,0)")).alias("_s"))
+    return rows.join(sets.groupBy("_n", "_x", "_s").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
+def pruned(members: DataFrame, busy: int = 16) -> DataFrame:
+    """Leave out memberships that no link needs.  ``sure`` says how many
+    signatures of a part a node shares with any partner.  So a node with fewer
+    signatures has none; and a node with fewer than ``sure`` signatures in busy
+    groups (of over ``busy`` nodes, a passage that many documents have) meets
+    each partner in another group and leaves the busy ones."""
+    members = _without_few(stored(members, "members"), "node")
+    crowds = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > busy).select("sig", F.lit(1).alias("_busy"))
+    marked = members.join(crowds, "sig", "left")
+    held = marked.groupBy("node", "part").agg(F.count("_busy").alias("_crowded"), F.first("sure").alias("sure"))
+    free = F.col("_crowded") < F.col("sure")
+    held = held.select("node", "part", free.alias("_free"), F.when(free, F.col("sure") - F.col("_crowded")).otherwise(1).cast("int").alias("sure"))
+    kept = marked.drop("sure").join(held, ["node", "part"]).where("_busy is null or not _free")
+    return _without_few(stored(kept.select("sig", "node", "part", "sure"), "members"), "node")
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Components (node, comp) and the links (a, b) that were verified.
+    ``members`` has sig, node and, if ``pruned``, part and sure; ``verify``
+    keeps the pairs (a, b), a < b, that are links."""
+    counted = "sure" in members.columns
     members = stored(members, "members")
-    star = members.groupBy("sig").agg(F.min("node").alias("_lead"), F.count(F.lit(1)).alias("_size"))
-    star = stored(star.where("_size > 1"), "stars")
-    first = members.join(star, "sig").where("node <> _lead").select(F.col("_lead").alias("a"), F.col("node").alias("b")).distinct()
+    once = stored(_once(members.select("sig", "node")), "once")
+    star = once.groupBy("sig").agg(F.min("node").alias("_lead"))
+    first = once.join(star, "sig").where("node <> _lead").select(F.col("_lead").alias("a"), F.col("node").alias("b")).distinct()
     tested = stored(first, "pairs")
     links = stored(verify(tested), "links")
     labels = components(links)
 
-    open_rows = members.join(star.select("sig", "_size"), "sig")
-    if sure:
-        crowded = (open_rows.where(F.col("_size") > busy).groupBy("node", "part")
-                   .agg((F.count(F.lit(1)) >= F.first(sure)).alias("_needs")))
-        open_rows = (open_rows.join(crowded, ["node", "part"], "left")
-                     .where((F.col("_size") <= busy) | F.col("_needs")).select("sig", "node"))
-    else:
-        open_rows = open_rows.select("sig", "node")
-
-    def with_labels(rows: DataFrame, now: DataFrame) -> DataFrame:
-        return rows.join(now, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    def still_open(rows: DataFrame) -> DataFrame:
+    def still_open(rows: DataFrame, now: DataFrame) -> DataFrame:
+        """Rows with their component, of groups that have several."""
+        rows = rows.join(now, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         split = rows.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("sig")
         return rows.join(split, "sig", "left_semi")
 
-    rows = with_labels(open_rows, labels)
+    rows = stored(still_open(members, labels), "open")
+    if counted:  # a node shares as many signatures with a partner in another component, all of them open
+        rows = _without_few(rows, "comp")
+    rows = stored(_once(rows), "once")
     sized = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    rows = still_open(rows).join(sized, ["sig", "comp"])
     order = Window.partitionBy("sig").orderBy("_n", "comp", "node")
-    rows = stored(rows.select("sig", "node", F.row_number().over(order).alias("_rank")), "open")
+    rows = stored(rows.join(sized, ["sig", "comp"]).select("sig", "node", F.row_number().over(order).alias("_rank")), "ranked")
     done, upto = 0, pivots
     while True:
-        now = stored(still_open(with_labels(rows, labels)), "round")
+        now = stored(still_open(rows, labels), "round")
         pivot = now.where(F.col("_rank").between(done + 1, upto)).select("sig", F.col("node").alias("_p"), F.col("comp").alias("_pc"),
                                                                          F.col("_rank").alias("_pr"))
-        met = now.join(pivot, "sig").where("comp <> _pc and (_rank > _pr)")
+        met = now.join(pivot, "sig").where("comp <> _pc and _rank > _pr")
         pairs = met.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stored(verify(pairs), "links")
-        if more.limit(1).count():
-            links = stored(links.union(more), "links")
-            labels = components(links)
-        rest = now.where(F.col("_rank") > upto).limit(1).count()
+        if pairs.limit(1).count():
+            more = stored(verify(pairs), "links")
+            if more.limit(1).count():
+                links = stored(links.union(more), "links")
+                labels = components(links)
+        rest = now.where(F.col("_rank") > upto + 1).limit(1).count()
         removed(now)
         if not rest:
             return labels, links

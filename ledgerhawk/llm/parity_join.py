@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts
-from .groups import linked
+from .groups import linked, pruned
 from .tokens import mix, row_slices, span_hash, text_bytes
 
 WORDS, PERCENT = 5, 75
 _ODD = np.random.default_rng(8).integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
-_BAND = np.random.default_rng(9).integers(0, 2**64, 32, dtype=np.uint64)
+_BAND = np.random.default_rng(9).integers(0, 2**64, 64, dtype=np.uint64)
 _U = np.uint64
 
 
@@ -68,9 +68,9 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> Itera
 
 
 def band_of(n: int) -> int:
-    """Sizes of band e lie in (4^(e+1), 4^(e+2)]; band 0 begins at 1."""
+    """Sizes of band e lie in (8 * 2^e, 16 * 2^e]; band 0 begins at 1."""
     e = 0
-    while n > 16 << (2 * e):
+    while n > 16 << e:
         e += 1
     return e
 
@@ -81,14 +81,14 @@ def keys(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     own = band_of(n)
     largest = 4 * n // 3
     for e in range(own, band_of(largest) + 1):
-        top = 16 << (2 * e)
+        top = 16 << e
         parts = (top * 9 + 19) // 20 + 24
         d = (n + min(largest, top)) // 7
         place = ((shingles >> _U(32)) * _U(parts)) >> _U(32)  # ascending, as the shingles are
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         words = np.bitwise_xor.reduceat(mix(shingles), first)
         got = np.sort(mix(words + place[first] * _ODD[9] + _BAND[e]))
-        slack = 4 + d // 16
+        slack = 4 + d // 8
         yield e, min(len(got) - d, 1 + slack), got[:d + 1 + slack]
         if len(got) <= d:
             yield 100 + e, n, np.sort(mix(shingles + ~_BAND[e]))
@@ -102,8 +102,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 h.append(mix(s).sum() if len(s) else _U(0))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(h, _U).view(np.int64))],
-            ["node", "doc_id", "n_shingles", "set_hash"])
+            [batch.column("node"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(np.array(h, _U).view(np.int64))],
+            ["node", "doc_id", "text_hash", "n_shingles", "set_hash"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +169,14 @@ def _similar(percent: int):
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that
-    links reach) and n_links (verified links of its set; components do not need every link)."""
+    links reach), kept (the
+    group's first row in order of id and text hash) and n_verified
+    (links of its set that had to be verified; components do not need every link)."""
     rows = texts(docs)
     repeated = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     node = F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")
-    rows = rows.select("doc_id", "text", node.alias("node"))
-    sizes = stored(rows.mapInArrow(_sizes, "node long, doc_id long, n_shingles long, set_hash long"), "sizes")
+    rows = rows.select("doc_id", "text", node.alias("node"), F.xxhash64("text").alias("text_hash"))
+    sizes = stored(rows.mapInArrow(_sizes, "node long, doc_id long, text_hash long, n_shingles long, set_hash long"), "sizes")
     # equal sets are one node
     reps = sizes.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("node").alias("node"))
     reps = stored(reps, "sets")
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = (keyed.repartition("sig").sortWithinPartitions("sig")
               .mapInArrow(_shared, "sig long, node long, part int, sure int"))
     members = shared.join(reps.select("node"), "node", "left_semi").dropDuplicates(["sig", "node"])
-    members = stored(members, "shared")
+    members = pruned(members)
     wanted = members.select("node").distinct()
     sets = stored(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
                   .mapInArrow(_sets, "node long, shingles binary"), "shingles")
@@ -192,12 +194,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
         return with_y.select("a", "b", "_x", "_y").mapInArrow(_similar(PERCENT), "a long, b long")
 
-    labels, links = linked(members, verify, sure="sure")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    labels, links = linked(members, verify)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     found = (reps.join(labels, "node", "left").join(degree, "node", "left")
-             .select("set_hash", "n_shingles", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+             .select("set_hash", "n_shingles", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_verified", F.lit(0)).alias("n_verified")))
     out = sizes.join(found, ["set_hash", "n_shingles"], "left")
-    smallest = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    smallest = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"),
+                                                                 F.min(F.struct("doc_id", "text_hash")).alias("_first"))
     out = out.join(smallest, "comp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+                      F.coalesce("n_verified", F.lit(0)).alias("n_verified"), "text_hash",
+                      (F.col("comp").isNull() | F.struct("doc_id", "text_hash").eqNullSafe(F.col("_first"))).alias("kept"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with the smallest id of each group of near duplicates, all columns kept."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return own.join(kept, same, "left_semi").select(docs.columns)
