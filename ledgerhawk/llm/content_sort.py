@@ -85,3 +85,15 @@ def exact_groups(docs: DataFrame, normalise=None, keep: str = "max") -> DataFram
     out = members.join(groups, ["block", "run"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
                       F.struct("doc_id", "block", "row").eqNullSafe(F.col("best")).alias("kept"), "text_sha256")
+
+
+def deduplicate(docs: DataFrame, keep: str = "max") -> DataFrame:
+    """``docs`` with one row of each text, all columns kept."""
+    groups = exact_groups(docs, keep=keep)
+    groups = stored(groups.select("doc_id", "text_sha256", "kept"), "groups")
+    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
+    if groups.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_text_sha"])  # rows equal in id and text
+    return out.select(docs.columns)

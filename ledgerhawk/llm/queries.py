@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_table, content_sort, edit_embedding, line_crf, orc_tokens, parity_join, sanitise, slack_packing, toxic_grammar
+from . import chunk_table, content_sort, edit_embedding, licence_rules, line_crf, orc_tokens, parity_join, sanitise, slack_packing, toxic_grammar
 from .common import documents, new_path, table
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def op5_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_grammar.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rules.scan(documents(spark, sf_dir))
+
+
 @query
 def op7_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_table.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
