@@ -16,7 +16,7 @@ from .catalog import finish, register
 from .oracle_views import with_views
 
 #: Rounds unrolled in the oracle SQL, well past convergence.
-PR_ROUNDS, HITS_ROUNDS, KATZ_ROUNDS, EIGEN_ROUNDS, CORE_ROUNDS, LABEL_ROUNDS = 40, 24, 24, 100, 60, 16
+PR_ROUNDS, HITS_ROUNDS, KATZ_ROUNDS, EIGEN_ROUNDS, CORE_ROUNDS, LABEL_ROUNDS = 40, 24, 24, 100, 60, 40
 R = 10  # decimals kept for values that are sums in data-dependent order
 C = 8   # decimals kept for values at convergence
 

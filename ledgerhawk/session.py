@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,14 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """An eager checkpoint that keeps no constraints of the plan behind it: over
-    many rounds those multiply and planning would outlast the work."""
+    """Write ``df`` to the shared folder and read it back.  A lost executor then
+    costs no recomputation, and, unlike a checkpoint, the table carries neither
+    constraints nor partitionings of the plan behind it: over many rounds of
+    joins those multiply and planning would outlast the work."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
