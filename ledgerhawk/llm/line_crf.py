@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import labelled, texts
 from .tokens import row_slices, span_hash, text_bytes
 
 FIT_ROWS, FIT_CHARS, ROUNDS = 4_000, 20_000_000, 4
@@ -215,13 +215,11 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """The field, from labels of rows that are not held out (a bounded sample of them)."""
-    known = (labels.where(F.col("doc_id").isNotNull() & ~held_out()).where("quality in (0, 1)")
-             .select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"]))
-    rows = texts(docs).join(known, "doc_id")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    share = min(1.0, FIT_ROWS * 0.95 / max(total["n"], 1), FIT_CHARS * 0.9 / max(total["chars"] or 1, 1))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < int(1_000_000 * share))
+    known = labels.where(~held_out()).where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    rows = labelled(docs, known, FIT_ROWS, 4)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > FIT_CHARS:
+        rows = labelled(docs, known, int(FIT_ROWS * 0.9 * FIT_CHARS / chars), 4)
     # a very long text alone may not exceed the bound either
     found = rows.where(F.length("text") <= FIT_CHARS // 10).select("doc_id", "text", "quality").toArrow().sort_by("doc_id")
     quality = found.column("quality").to_numpy()
