@@ -7,11 +7,11 @@ its weight, more next to a target; a threat needs a target after it; negation
 and reported speech damp what follows in the clause.  A document's features
 are sums over its matched clauses, never counts of isolated words of the text.
 
-Word and stem weights are learned in Spark from all labelled rows that are
-offered (log-odds of toxic rows with and without the word), kept when they are
+Word and stem weights are learned in Spark from at most ``FIT_ROWS`` labelled
+rows (log-odds of toxic rows with and without the word), kept when they are
 frequent and one-sided enough; the lexicon is bounded by ``LEXICON`` entries
-and broadcast.  A logistic curve over the clause features, fitted on at most
-``FIT_ROWS`` labelled rows, gives the score.
+and broadcast.  A logistic curve over the clause features, fitted on the same
+rows, gives the score.
 
 Null or empty text scores as a text without matches.  Labels that are null
 teach nothing.  Without labelled rows of both kinds the grammar keeps its
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import labelled, texts
 
-#: Bounds of what is learned: lexicon entries, and labelled rows for the curve.
+#: Bounds of what is learned: lexicon entries, and labelled rows.
 LEXICON, FIT_ROWS = 20_000, 20_000
 STEM = 5
 
@@ -121,9 +121,8 @@ def _weights(counts: DataFrame, rows: Column, toxic: Column, least: int, z: floa
             .where((F.col("n") >= least) & (F.col("z") >= z) & (F.col("weight") >= 2.0)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, least: int = 8, z: float = 6.0) -> Grammar:
-    """Weigh words and stems on labelled rows (doc_id, toxic)."""
-    rows = texts(docs).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
+def learn(rows: DataFrame, least: int = 8, z: float = 6.0) -> Grammar:
+    """Weigh words and stems on labelled rows (doc_id, text, toxic)."""
     words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), _CUT))).alias("word")).where("length(word) > 1")
     words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p"))
     stems = rows.select("toxic", F.explode(F.array_distinct(F.transform(
@@ -157,10 +156,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fit_curve(rows: DataFrame, grammar) -> tuple[np.ndarray, float]:
-    """The curve on at most FIT_ROWS rows (doc_id, text, toxic), taken by a hash of the id."""
-    total = rows.count()
-    if total > FIT_ROWS:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS * 0.95 / total))
+    """The curve on labelled rows (doc_id, text, toxic)."""
     found = rows.mapInArrow(_feature_rows(grammar, ("toxic",)), "toxic int, strongest double, sum double, clauses double").toPandas()
     if found["toxic"].nunique() < 2:
         return _FIXED_CURVE
@@ -188,10 +184,10 @@ def held_out() -> Column:
 
 def model(docs: DataFrame, labels: DataFrame):
     """Grammar (broadcast) and curve, learned from labels of rows that are not held out."""
-    taught = labels.where(F.col("doc_id").isNotNull() & ~held_out())
-    grammar = docs.sparkSession.sparkContext.broadcast(learn(docs, taught))
-    known = taught.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    return grammar, fit_curve(texts(docs).join(known, "doc_id"), grammar)
+    known = labels.where(~held_out()).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rows = labelled(docs, known, FIT_ROWS, 5)
+    grammar = docs.sparkSession.sparkContext.broadcast(learn(rows))
+    return grammar, fit_curve(rows, grammar)
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
