@@ -83,6 +83,7 @@ def running_start(rows: DataFrame, order: list[str], value: str, out: str) -> Da
     Rows are dealt into ordered blocks once; a block's own sums are a window,
     block offsets come from a table of one row per block."""
     from pyspark.sql import Window
+    rows = stored(rows, "rows")  # sampling for the ranges reads it once more
     blocks = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order)
                     .withColumn("_block", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "order")
     before = blocks.groupBy("_block").agg(F.sum(value).alias("_sum"))
