@@ -1,11 +1,13 @@
 """Information-theoretic sanitisation (operator 9), in DataFrame functions only.
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers.
-A term near an entity can reveal it: over the whole corpus, with documents as
-events, ``log2(n(term, entity) N / (n(term) n(entity)))`` is the information a
-term gives about an entity, and ``log2(N / n(entity))`` all there is to know.
-A term that gives at least ``disclosure`` of it, and is seen with the entity in
-at least ``support`` documents, is generalised like the entity itself.
+A term can reveal an entity it occurs with: over the whole corpus, with whole
+documents as events, ``log2(n(term, entity) N / (n(term) n(entity)))`` is the
+information a term gives about an entity, and ``log2(N / n(entity))`` all there
+is to know.  A term that gives at least ``disclosure`` of it, and is seen with
+the entity in at least ``support`` documents, is generalised like the entity
+itself, wherever it occurs.  Terms are words of three letters or digits or more,
+hyphens and apostrophes within included, outside of entities.
 
 Patterns scan in one direction only (no nested repetition), so very long runs
 neither recurse nor backtrack.  Positions are code points.  Matches become
@@ -21,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")  # fixed order of the spans
 REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Code points of context on either side of an entity.
-NEAR = 64
 _LOCAL, _DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 _JOINED, _OTHER = "\ue000", "\ue001"  # stand-ins of one code point
+_WORD = r"\p{L}\p{N}\p{M}"
+_FROM, _TO = "\ue002", "\ue003"  # around a term that is marked
 
 
 def _joined(text: Column, between: str, separators: str) -> Column:
@@ -47,21 +49,19 @@ def _patterns(text: Column) -> dict[str, tuple[Column, str]]:
     }
 
 
-def _with_context(kind: str, gaps: Column):
-    def row(hit: Column, i: Column) -> Column:
-        before, after = F.get(gaps, i), F.get(gaps, i + 1)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), hit.alias("hit"),
-                        F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
-    return row
+def _matches(kind: str, searched: Column, pattern: str) -> Column:
+    """Matches as (kind, index, code points since the match before, match).  The
+    arrays are zipped, as a lambda would make the other one again for each match."""
+    hits, gaps = F.regexp_extract_all(searched, F.lit(pattern), F.lit(0)), F.split(searched, pattern, -1)
+    both = F.filter(F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit"))), lambda m: m["hit"].isNotNull())
+    return F.transform(both, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["hit"].alias("hit")))
 
 
 def _found(text: Column) -> Column:
-    """All matches as (kind, index, code points since the match before, match, context before, after)."""
+    """The matches of all kinds."""
     parts = []
     for kind, (searched, pattern) in _patterns(text).items():
-        hits = F.regexp_extract_all(searched, F.lit(pattern), F.lit(0))
-        gaps = F.split(searched, pattern, -1)
-        rows = F.transform(hits, _with_context(kind, gaps))
+        rows = _matches(kind, searched, pattern)
         needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, F.lit(True))
         parts.append(F.when(needs, rows).otherwise(F.slice(rows, 1, 0)))
     return F.concat(*parts)
@@ -87,58 +87,86 @@ def _may_hold(text: Column) -> Column:
     return F.coalesce(F.contains(text, F.lit("@")) | text.rlike("[0-9][^0-9]?[0-9]"), F.lit(False))
 
 
-def base_spans(rows: DataFrame) -> DataFrame:
-    """(row, kind, start, stop, value, before, after) of rows (row, text): the
-    entities that pass their check."""
-    found = rows.select("row", F.explode(_found(F.col("text"))).alias("m")).select("row", "m.*")
+def _placed(found: DataFrame) -> DataFrame:
+    """Start and stop of matches (row, kind, i, gap, hit)."""
     upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = found.withColumn("stop", F.sum(F.col("gap") + F.length("hit")).over(upto).cast("long"))
-    placed = placed.withColumn("start", F.col("stop") - F.length("hit"))
+    return placed.withColumn("start", F.col("stop") - F.length("hit"))
+
+
+def base_spans(rows: DataFrame) -> DataFrame:
+    """(row, kind, start, stop, value) of rows (row, text): the entities that
+    pass their check."""
+    placed = _placed(rows.select("row", F.explode(_found(F.col("text"))).alias("m")).select("row", "m.*"))
     # the stand-in is a dot in an address; in a number separators do not matter
     value = F.when(F.col("kind") == "email", F.lower(F.translate("hit", _JOINED, "."))).otherwise(
         F.when(F.col("kind") == "ip", F.col("hit")).otherwise(F.regexp_replace("hit", "[^0-9]", "")))
     return (placed.where(_valid(F.col("kind"), F.col("hit")))
-            .select("row", "kind", "start", "stop", F.concat_ws(":", "kind", value).alias("value"), "before", "after"))
-
-
-def _terms(side: Column, first: Column, open_left: Column, open_right: Column) -> Column:
-    """Words of a context: (term, start).  A word cut off by the context's end is left out."""
-    words = F.split(side, r"\s", -1)
-    count = F.size(words)
-
-    def place(word: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, w: a + F.length(w) + 1)
-        lead = F.length(F.regexp_extract(word, r"^\p{P}*", 0))
-        whole = ~(open_left & (i == 0)) & ~(open_right & (i == count - 1))
-        return F.struct(F.when(whole, F.regexp_extract(word, r"^\p{P}*(\p{L}{3,})\p{P}*$", 1)).alias("word"),
-                        (first + before + lead).cast("long").alias("start"))
-
-    return F.filter(F.transform(words, place), lambda t: F.length(t["word"]) > 0)
-
-
-def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = 0.6, support: int = 2) -> DataFrame:
-    """(row, start, stop) of the terms near an entity that disclose it."""
-    near = spans.select("row", "value", F.explode(F.concat(
-        _terms(F.col("before"), F.col("start") - F.length("before"), F.length("before") == NEAR, F.lit(True)),
-        _terms(F.col("after"), F.col("stop"), F.lit(True), F.length("after") == NEAR))).alias("t"))
-    near = near.select("row", "value", F.lower("t.word").alias("term"), F.col("t.start").alias("start"),
-                       (F.col("t.start") + F.length("t.word")).alias("stop"))
-    near = stored(near, "near")
-    together = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    together = stored(together.where(F.col("n_both") >= support), "together")
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    # counted before any join: tasks then send a word once, not each time it occurs
-    n_term = (docs.select(F.explode(words).alias("term")).where(F.length("term") >= 3)
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
-    n_value = spans.select("row", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = together.join(n_term, "term").join(n_value, "value").crossJoin(total)  # one row
-    gives = F.log2(F.col("n_both") * F.col("n") / (F.greatest("n_term", "n_both") * F.col("n_value")))
-    risky = scored.where(gives >= disclosure * F.log2(F.col("n") / F.col("n_value"))).where("n > n_value").select("value", "term")
-    hits = near.join(risky, ["value", "term"], "left_semi").select("row", "start", "stop").distinct()
-    # base spans stay as they are: a term that overlaps one is part of it
-    inside = spans.select("row", F.col("start").alias("_from"), F.col("stop").alias("_to"))
-    return hits.join(inside, (hits["row"] == inside["row"]) & (F.col("_from") < F.col("stop")) & (F.col("start") < F.col("_to")), "left_anti")
+            .select("row", "kind", "start", "stop", F.concat_ws(":", "kind", value).alias("value")))
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with its merged spans replaced by ``by(span)``."""
+    after = lambda i: F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
+    pieces = F.transform(spans, lambda s, i: F.concat(F.substr(text, (after(i) + 1).cast("int"), (s["start"] - after(i)).cast("int")), by(s)))
+    tail = F.substr(text, (F.get(spans, F.size(spans) - 1)["stop"] + 1).cast("int"))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+
+
+def _words(text: Column) -> tuple[Column, Column]:
+    """Terms of a text as they are spelled, and what stands between them."""
+    searched = _joined(F.translate(text, _FROM + _TO, _OTHER * 2), _WORD, "'\u2019-")
+    pattern = f"[{_JOINED}{_WORD}]{{3,}}+"
+    return F.regexp_extract_all(searched, F.lit(pattern), F.lit(0)), F.split(searched, pattern, -1)
+
+
+def _distinct_terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_words(text)[0], F.lower))
+
+
+#: Frequent terms that are left out by a broadcast before pairs are made.
+FREQUENT = 100_000
+#: Risky terms that are broadcast; beyond, rows and terms are shuffled.
+BROADCAST = 1_000_000
+
+
+def risky_terms(rows: DataFrame, disclosure: float, support: int, n_value: DataFrame) -> DataFrame:
+    """(term) of rows (text, values): the terms that disclose an entity.
+    ``values`` are the entities of the row that occur in ``support`` rows or
+    more, ``n_value`` has in how many."""
+    text = F.col("text")
+    n_term = rows.select(F.explode(_distinct_terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = stored(n_term.where(F.col("n_term") >= support), "terms")
+    n = rows.count()
+    most = n_value.agg(F.max("n_value")).first()[0]
+    if not most:
+        return n_term.select("term").limit(0)
+    # n_both <= n_value, so a term that is more frequent than this discloses no entity
+    limit = F.lit(float(n)) * F.pow(F.lit(most / n), F.lit(disclosure)) * 1.000001
+    frequent = n_term.where(F.col("n_term") > limit).orderBy(F.desc("n_term")).limit(FREQUENT).select("term")
+    pairs = (rows.where(F.size("values") > 0).select("values", F.explode(_distinct_terms(text)).alias("term"))
+             .join(F.broadcast(frequent), "term", "left_anti").select("term", F.explode("values").alias("value")))
+    # summed in every task first, so a hot entity or term sends a row a task
+    together = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    scored = stored(together, "together").join(n_term, "term").join(n_value, "value")
+    gives = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_value")))
+    return scored.where(gives >= disclosure * F.log2(n / F.col("n_value"))).where(F.col("n_value") < n).select("term").distinct()
+
+
+def term_spans(rows: DataFrame, risky: DataFrame) -> DataFrame:
+    """(row, start, stop) of every occurrence of the terms in rows (row, text)."""
+    text = F.col("text")
+    risky = stored(risky, "risky")
+    few = F.broadcast(risky) if risky.count() <= BROADCAST else risky
+    held = rows.select("row", F.explode(_distinct_terms(text)).alias("term")).join(few, "term")
+    held = stored(held.groupBy("row").agg(F.collect_set("term").alias("terms")), "holders")
+    hits, gaps = _words(text)
+    mark = lambda hit: F.when(F.array_contains("terms", F.lower(hit)), F.concat(F.lit(_FROM), hit, F.lit(_TO))).otherwise(hit)
+    marked = F.array_join(F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(mark(hit), F.lit("")))), "")
+    marked = rows.join(held, "row").select("row", marked.alias("text"))
+    found = marked.select("row", F.explode(_matches("term", F.col("text"), f"{_FROM}[^{_TO}]*+{_TO}")).alias("m"))
+    found = found.select("row", "m.*").withColumn("hit", F.translate("hit", _FROM + _TO, ""))
+    return _placed(found).select("row", "start", "stop")
 
 
 def _new_name(name: str, columns: list[str]) -> str:
@@ -147,30 +175,52 @@ def _new_name(name: str, columns: list[str]) -> str:
     return name
 
 
-def all_spans(docs: DataFrame, row: str, disclosure: float = 0.6, support: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows that may hold personal data (all columns, and a row number in the
-    new column ``row``) and their spans (row, kind, start, stop)."""
-    held = stored(docs.where(_may_hold(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "held")
-    spans = stored(base_spans(held.select(F.col(row).alias("row"), "text")), "spans")
-    terms = revealing_terms(docs, spans, disclosure, support)
-    both = spans.select("row", "kind", "start", "stop").unionByName(terms.withColumn("kind", F.lit("term")).select("row", "kind", "start", "stop"))
-    return held, both
-
-
 def _listed(spans: DataFrame) -> DataFrame:
     """Per row its spans in order: by start, then kind as listed."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "stop", "kind"))).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans that overlap as one, of the kind of the first."""
+    begin = F.struct(F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>").alias("out"), F.lit(0).cast("long").alias("end"))
+
+    def merge(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["end"]
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(s["stop"], last["stop"]).alias("stop"), last["kind"].alias("kind"))
+        return F.struct(
+            F.when(apart, F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
+            .when(s["stop"] > acc["end"], F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(grown)))
+            .otherwise(acc["out"]).alias("out"), F.greatest(s["stop"], acc["end"]).alias("end"))
+
+    return F.aggregate(spans, begin, merge)["out"]
+
+
+def all_spans(docs: DataFrame, row: str, disclosure: float = 0.6, support: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a row number in the new column ``row``, and the spans
+    (row, kind, start, stop) of all rows."""
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col(row).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    spans = stored(base_spans(own.where(_may_hold(F.col("text")))), "spans")
+    values = spans.select("row", "value").distinct()
+    n_value = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).where(F.col("n_value") >= support), "values")
+    shared = values.join(n_value, "value", "left_semi").groupBy("row").agg(F.collect_list("value").alias("values"))
+    # entities are blanked: a word that overlaps one is part of it
+    blank = lambda s: F.repeat(F.lit(" "), (s["stop"] - s["start"]).cast("int"))
+    listed = _listed(spans).select("row", _merged(F.col("spans")).alias("spans"))
+    marked = own.join(listed, "row", "left").join(shared, "row", "left")
+    masked = stored(marked.select("row", _replaced(F.col("text"), F.col("spans"), blank).alias("text"), "values"), "masked")
+    terms = stored(term_spans(masked.select("row", "text"), risky_terms(masked, disclosure, support, n_value)), "marked")
+    removed(masked)
+    return rows, spans.select("row", "kind", "start", "stop").unionByName(terms.withColumn("kind", F.lit("term")).select("row", "kind", "start", "stop"))
+
+
 def personal_data(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held, spans = all_spans(docs, "row", disclosure, support)
-    listed = held.select("row", "doc_id").join(_listed(spans), "row", "left")
-    clean = docs.where(~_may_hold(F.col("text"))).select("doc_id")
-    none = F.lit(None).cast("array<struct<start:bigint,rank:bigint,stop:bigint,kind:string>>")
-    rows = listed.select("doc_id", "spans").unionByName(clean.withColumn("spans", none))
+    rows = held.select("row", "doc_id").join(_listed(spans), "row", "left")
     rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:bigint,stop:bigint,kind:string>>")))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -185,22 +235,7 @@ def sanitise(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> Data
     by the kind of the first."""
     row, spans_of = _new_name("_row", docs.columns), _new_name("_spans", docs.columns)
     held, spans = all_spans(docs, row, disclosure, support)
-    listed = _listed(spans)
-    begin = F.struct(F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>").alias("out"), F.lit(0).cast("long").alias("end"))
-
-    def merge(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["end"]
-        return F.struct(
-            F.when(apart, F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
-            .otherwise(acc["out"]).alias("out"), F.greatest(s["stop"], acc["end"]).alias("end"))
-
+    listed = _listed(spans).select(F.col("row").alias(row), _merged(F.col("spans")).alias(spans_of))
     label = F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
-    marked = held.join(listed.select(F.col("row").alias(row), F.aggregate("spans", begin, merge)["out"].alias(spans_of)), row, "left")
-    text, out = F.col("text"), F.col(spans_of)
-    pieces = F.transform(out, lambda s, i: F.concat(
-        F.substr(text, (F.coalesce(F.get(out, i - 1)["stop"], F.lit(0)) + 1).cast("int"),
-                 (s["start"] - F.coalesce(F.get(out, i - 1)["stop"], F.lit(0))).cast("int")), F.element_at(label, s["kind"])))
-    tail = F.substr(text, (F.get(out, F.size(out) - 1)["stop"] + 1).cast("int"))
-    cleaned = F.when(F.size(out) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    done = marked.withColumn("text", cleaned)
-    return done.select(docs.columns).unionByName(docs.where(~_may_hold(F.col("text"))))
+    cleaned = _replaced(F.col("text"), F.col(spans_of), lambda s: F.element_at(label, s["kind"]))
+    return held.join(listed, row, "left").withColumn("text", cleaned).select(docs.columns)

@@ -104,6 +104,35 @@ def test_terms_follow_the_information_measure(spark):
         assert clean[d] == out + t[at:]
 
 
+def test_terms_are_counted_and_replaced_in_whole_documents(spark):
+    rng = random.Random(4)
+    filler = ["alpha", "beta", "gamma", "delta", "the", "and"]
+    far = lambda: " ".join(rng.choice(filler) for _ in range(60))
+    rows = [(i, far()) for i in range(60)]
+    for i in range(3):  # far from the entity, and spelled with hyphen, apostrophe or digit
+        rows[i] = (i, f"Jean-Luc {far()} me@host.example {far()} (Zanzibar) {far()} o'brien, zanzibar. {far()} a320")
+    rows[10] = (10, f"{far()} in ZANZIBAR/jean-luc {far()}")  # without the entity
+    rows[11] = (11, f"{far()} zanzibars a3201 {far()} jean \ue002zanzibar\ue003")
+    df = frame(spark, rows)
+    found = collections.defaultdict(list)
+    for r in sanitise.personal_data(df).collect():
+        for span in filter(None, r.spans.split(",")):
+            kind, a, b = span.split(":")
+            if kind == "term":
+                found[r.doc_id].append(rows[r.doc_id][1][int(a):int(b)])
+        assert r.n_term == len(found[r.doc_id])
+    assert {d: f for d, f in found.items() if f} == {**{i: ["Jean-Luc", "Zanzibar", "o'brien", "zanzibar", "a320"] for i in range(3)},
+                                                    10: ["ZANZIBAR", "jean-luc"], 11: ["zanzibar"]}
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(df).collect()}
+    assert clean[10] == rows[10][1].replace("ZANZIBAR", "[TERM]").replace("jean-luc", "[TERM]")
+    assert not any(re.search("zanzibar\\b|jean-luc|o'brien|a320\\b|host", clean[d].lower()) for d in clean)
+
+
+def test_overlapping_spans_are_replaced_as_one(spark):
+    text = "call +1 10.200.30.40, bye"
+    assert sanitise.sanitise(frame(spark, [(1, text)])).first().text == "call [PHONE], bye"
+
+
 def test_sanitise_keeps_rows_and_columns(edge, nothing):
     got = sanitise.sanitise(edge)
     assert got.columns == edge.columns
