@@ -9,8 +9,8 @@ symmetric difference, and linked documents agree in every word that none of
 those few shingles hit: by the pigeonhole principle they share words that are
 not empty.  Those words, with band and place, are the join keys.  Of its q
 words a document joins on the d + 1 + slack least keys, where d bounds the
-difference to any partner: linked documents then share at least 1 + slack of
-them.  Shared keys are candidates; the sets themselves decide.
+difference to any partner: linked documents then share at least 1 + the smaller
+slack of the two of them.  Shared keys are candidates; the sets themselves decide.
 
 The band of a pair is that of its larger set; a set near the upper end of its
 band also joins in the next.  A set whose words do not outnumber d (tiny sets
@@ -89,9 +89,12 @@ def keys(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         words = np.bitwise_xor.reduceat(mix(shingles), first)
         got = np.sort(mix(words + place[first] * _ODD[9] + _BAND[e]))
         slack = 4 + d // 8
-        yield e, min(len(got) - d, 1 + slack), got[:d + 1 + slack]
+        # a partner's keys may end earlier: those of the smallest one leave the least slack
+        least = (3 * n + 3) // 4
+        sure = 1 + 4 + (least + min(4 * least // 3, top)) // 7 // 8
+        yield e, min(len(got) - d, sure), got[:d + 1 + slack]
         if len(got) <= d:
-            yield 100 + e, n, np.sort(mix(shingles + ~_BAND[e]))
+            yield 100 + e, least, np.sort(mix(shingles + ~_BAND[e]))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,3 +239,30 @@ def test_embedding_near_duplicates(spark, edge, nothing):
     assert got == {d: d - d % 4 for d, _ in rows}
     assert len(edit_embedding.near_duplicates(edge).collect()) == len(EDGE)
     assert edit_embedding.near_duplicates(nothing).collect() == []
+
+
+def shared_keys(a, b):
+    """(part, keys that both have, number sure of a, of b)."""
+    of = [{part: (sure, set(k.tolist())) for part, sure, k in parity_join.keys(x)} for x in (a, b)]
+    return [(p, len(of[0][p][1] & of[1][p][1]), of[0][p][0], of[1][p][0]) for p in of[0] if p in of[1]]
+
+
+def test_tiny_sets_in_one_place_keep_their_link(spark):
+    small, large = np.array([1, 2, 3], np.uint64), np.array([1, 2, 3, 4], np.uint64)  # all in place 0 of band 0
+    assert any(n and n >= x and n >= y for _, n, x, y in shared_keys(small, large))
+    rows = [(node, part, sure, k) for node, s in enumerate((small, large)) for part, sure, ks in parity_join.keys(s) for k in ks.view(np.int64).tolist()]
+    members = spark.createDataFrame(rows, "node long, part int, sure int, sig long").select("sig", "node", "part", "sure")
+    split = members.groupBy("sig").count().where("count > 1").select("sig")
+    assert {r.node for r in groups.pruned(members.join(split, "sig")).select("node").distinct().collect()} == {0, 1}
+
+
+def test_sure_keys_hold_for_the_smallest_partner():
+    def spread(n):  # as many places as there can be
+        return np.linspace(1, 2**64 - 2**12, n).astype(np.uint64)
+
+    for n in (200, 300, 500, 1000, 1365, 5000):
+        of_n = {part: sure for part, sure, _ in parity_join.keys(spread(n))}
+        for m in {(3 * n + 3) // 4, n, 4 * n // 3}:
+            for part, _, k in parity_join.keys(spread(m)):
+                if part in of_n and part < 100:
+                    assert of_n[part] <= len(k) - (m + min(4 * m // 3, 16 << part)) // 7
