@@ -4,7 +4,8 @@ A text's sentences are normalised (lower case, letters and digits only) and
 looked up in a fixed table of licence sentences, which gives each an
 identifier.  A licence is found where the identifiers of one of its rules
 follow one another in order, at most ``GAP`` sentences apart.  Sentences may
-be wrapped over lines or stand on a line of their own without a full stop.
+be wrapped over lines, also below a line that is no sentence, or stand on a
+line of their own without a full stop.
 
 Everything is DataFrame functions; the table is a broadcast of fixed size.
 Null or empty text has no sentence.  Repeated rows are scanned each for
@@ -63,6 +64,8 @@ RULES = (
 _HINT = "(?i)licen[sc]e|permission|redistribut|free software|copyright"
 #: A sentence or clause ends before blank space, or with its paragraph.
 _END = r"(?<=[.!?:;])\s+|\n\s*\n"
+#: A line of comment marks only, which is an empty line of the comment.
+_EMPTY = r"(?m)^[ \t]*[*/#;%!<>|-]+[ \t\r]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -112,10 +115,15 @@ def scan(docs: DataFrame) -> DataFrame:
     hinted = text.rlike(_HINT)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = own.where(hinted).withColumn("row", F.monotonically_increasing_id())
-    units = rows.select("row", "doc_id", F.posexplode(F.split("text", _END)).alias("i", "unit"))
-    # a unit as a whole, and its lines where it has several
+    units = rows.select("row", "doc_id", F.posexplode(F.split(F.regexp_replace("text", _EMPTY, ""), _END)).alias("i", "unit"))
+    # a unit as a whole, and where it has several lines each of them and what
+    # follows a line break; lines have a word at least, so longer ends are no sentence
     lines = F.split("unit", "\n")
-    forms = F.when(F.size(lines) > 1, F.concat(F.array("unit"), lines)).otherwise(F.array("unit"))
+    longest = max(len(s.split()) for s, _ in sentences)
+    units = units.withColumn("last", F.reverse(F.slice(F.reverse(F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))), 1, longest + 1)))
+    ends = F.when(F.size("last") > 2, F.transform(F.sequence(F.lit(2), F.size("last") - 1), lambda k: F.array_join(
+        F.slice("last", k, F.lit(longest)), "\n"))).otherwise(F.array().cast("array<string>"))
+    forms = F.when(F.size(lines) > 1, F.concat(F.array("unit"), lines, ends)).otherwise(F.array("unit"))
     forms = units.select("row", "doc_id", "i", F.posexplode(forms).alias("j", "form"))
     found = forms.withColumn("sentence", _normal(F.col("form"))).join(known, "sentence", "left")
     per_doc = found.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set(

@@ -187,6 +187,18 @@ def test_licences(spark, small, edge, nothing):
     assert len(licence_rules.scan(edge).collect()) == len(EDGE) and licence_rules.scan(nothing).collect() == []
 
 
+def test_wrapped_licence_below_other_lines(spark):
+    rows = []
+    for name, sentences in licence_rules.RULES:
+        words = " ".join(sentences).split()
+        lines = [" ".join(words[i:i + 9]) for i in range(0, len(words), 9)]
+        rows.append((name, "/*\n * Copyright (c) 2020 X\n *\n" + "\n".join(f" * {x}" for x in lines) + "\n */\ncode();"))
+        rows.append((name, "Copyright (c) 2020 X\n" + "\n".join(lines)))
+        rows.append((name, "// Copyright X\n// All rights reserved\n" + "\n".join(f"// {x}" for x in lines)))
+    got = {r.doc_id: r.licences.split(",") for r in licence_rules.scan(frame(spark, list(enumerate(t for _, t in rows)))).collect()}
+    assert [name for i, (name, _) in enumerate(rows) if name not in got[i]] == []
+
+
 def test_pipeline_equals_a_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
