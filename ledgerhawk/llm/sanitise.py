@@ -84,7 +84,7 @@ def _valid(kind: Column, hit: Column) -> Column:
 
 
 def _may_hold(text: Column) -> Column:
-    return F.coalesce(F.contains(text, F.lit("@")) | text.rlike("[0-9][^0-9]?[0-9]"), F.lit(False))
+    return F.coalesce(F.contains(text, F.lit("@")) | text.rlike(r"[0-9][^0-9]?[0-9]|\+[0-9]"), F.lit(False))
 
 
 def _placed(found: DataFrame) -> DataFrame:

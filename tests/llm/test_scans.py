@@ -199,6 +199,15 @@ def test_wrapped_licence_below_other_lines(spark):
     assert [name for i, (name, _) in enumerate(rows) if name not in got[i]] == []
 
 
+def test_base_spans_with_wide_separators(spark):
+    rng = random.Random(8)
+    rows = [(0, "+4 9 1 5 1 2 3 4 5 6"), (1, "+4  9  1  5  1  2  3  4  5  6"), (2, "a +4. 9. 1. 5. 1. 2. 3. 4. 5. 6 b")]
+    rows += [(i, rng.choice(["", "call "]) + "+" + rng.choice(["  ", ". ", " - ", ") (", ""]).join(rng.choice("0123456789") for _ in range(rng.randrange(8, 18))))
+             for i in range(3, 60)]
+    got = check_base(rows, frame(spark, rows))
+    assert {r.doc_id: r.n_phone for r in got if r.doc_id < 3} == {0: 1, 1: 1, 2: 1}
+
+
 def test_pipeline_equals_a_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
