@@ -1,13 +1,12 @@
 """Shortest-path measures (J3 betweenness, J5 closeness) by multi-source
 breadth-first search over DataFrames.
 
-Betweenness expands its sources level by level (all nodes, unless the caller
-asks for ``k`` pivots, the ``k`` smallest ``xxhash64`` of the node id): the frontier is
-joined with the adjacency list, path counts (sigma) are summed per
-(source, node), and nodes already reached are removed with an anti join.
-Dependencies are then pushed back level by level (Brandes).  With pivots
-betweenness is scaled by n / k (the reference's sampled estimator).  Work is
-O(sources * edges) rows; the visited table is checkpointed every few levels.
+Betweenness expands its sources level by level, in batches over all nodes
+(unless the caller asks for ``k`` pivots, the ``k`` smallest ``xxhash64`` of the
+node id): the frontier is joined with the adjacency list, path counts (sigma)
+are summed per (source, node), and nodes already reached are removed with an
+anti join.  Dependencies are then pushed back level by level (Brandes).  Work
+is O(sources * edges) rows.
 Closeness is exact, from bitmaps of sources.
 """
 
@@ -20,55 +19,72 @@ from ...session import cut_lineage
 from .build import Graph
 
 
-def _bfs(g: Graph, k: int | None, checkpoint_every: int = 3) -> tuple[DataFrame, int, int]:
-    g = g.checkpointed()
-    n = g.nodes.count()
-    k = n if k is None or k >= n else k
-    src = (g.nodes.select("node", F.xxhash64("node").alias("_h")).orderBy("_h", "node").limit(k)
-           .select(F.col("node").alias("s")))
-    adj = g.adjacency.select(F.col("node").alias("v"), F.col("nbr").alias("w"))
-    frontier = src.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma"))
-    visited = frontier.withColumn("d", F.lit(0))
-    recent = frontier.select("s", "v")
-    level = 0
+#: Rows (source, node) of one batch of betweenness sources, at most.
+PAIRS = 20_000_000
+
+
+def _removed(tables: list[DataFrame]) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _batch(src: DataFrame, adj: DataFrame) -> DataFrame:
+    """(v, delta) of the sources (s): dependencies summed per node."""
+    levels = [cut_lineage(src.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
     while True:
-        cand = (frontier.join(adj, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma")))
+        cand = levels[-1].join(adj, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
         # in an undirected search a neighbour lies in the last level, the one before, or is new
-        new = cand.join(recent.select("s", "v"), ["s", "v"], "left_anti")
-        level += 1
-        new = cut_lineage(new.withColumn("d", F.lit(level)))
-        if new.limit(1).count() == 0:
+        recent = levels[-1].select("s", "v")
+        if len(levels) > 1:
+            recent = recent.unionByName(levels[-2].select("s", "v"))
+        levels.append(cut_lineage(cand.join(recent, ["s", "v"], "left_anti")))
+        if levels[-1].limit(1).count() == 0:
             break
-        visited = visited.unionByName(new)
-        if level % checkpoint_every == 0:
-            visited = cut_lineage(visited)
-        recent = frontier.select("s", "v").unionByName(new.select("s", "v"))
-        frontier = new.select("s", "v", "sigma")
-    return cut_lineage(visited), n, k
-
-
-def betweenness(g: Graph, k: int | None = None, normalized: bool = True) -> DataFrame:
-    """Brandes betweenness from ``k`` pivots, scaled like the reference
-    library (1/((n-1)(n-2)) when normalised, x n/k when sampled) (J3)."""
-    visited, n, k = _bfs(g, k)
+    deltas = [cut_lineage(levels[-2].select("s", "v", "sigma", F.lit(0.0).alias("delta")))]
+    for lower in levels[-3::-1]:
+        upper = deltas[-1].select("s", F.col("v").alias("w"), ((1 + F.col("delta")) / F.col("sigma")).alias("_share"))
+        back = adj.select(F.col("v").alias("w"), F.col("w").alias("v"))
+        share = upper.join(back, "w").groupBy("s", "v").agg(F.sum("_share").alias("_share"))
+        delta = F.col("sigma") * F.coalesce("_share", F.lit(0.0))
+        deltas.append(cut_lineage(lower.join(share, ["s", "v"], "left").select("s", "v", "sigma", delta.alias("delta"))))
+    total = deltas[0]
+    for d in deltas[1:]:
+        total = total.unionByName(d)
+    total = cut_lineage(total.where(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("delta")))
+    _removed(levels + deltas)
+    return total
+
+
+def betweenness(g: Graph, k: int | None = None, normalized: bool = True, pairs: int = PAIRS) -> DataFrame:
+    """Brandes betweenness, exact over all sources, or from ``k`` pivots scaled
+    like the reference library (1/((n-1)(n-2)) when normalised, x n/k when
+    sampled) (J3).  Sources are taken in batches of at most ``pairs`` rows
+    (source, node); a batch is summed per node and its tables are removed."""
+    g = g.checkpointed()
+    n = g.nodes.count()
+    k = n if k is None or k >= n else k
     adj = g.adjacency.select(F.col("node").alias("v"), F.col("nbr").alias("w"))
-    max_d = visited.agg(F.max("d")).first()[0] or 0
-    delta = visited.where(F.col("d") == max_d).select("s", "v", F.lit(0.0).alias("delta"))
-    total = delta
-    for lev in range(max_d - 1, -1, -1):
-        upper = (visited.where(F.col("d") == lev + 1).select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"))
-                 .join(delta.select("s", F.col("v").alias("w"), "delta"), ["s", "w"]))
-        lower = visited.where(F.col("d") == lev).select("s", "v", "sigma")
-        contrib = (lower.join(adj, "v").join(upper, ["s", "w"])
-                   .groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("delta"))).alias("delta")))
-        delta = lower.select("s", "v").join(contrib, ["s", "v"], "left").fillna(0.0, ["delta"])
-        delta = cut_lineage(delta)
-        total = total.unionByName(delta)
-    b = total.where(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("_b"))
+    src = g.nodes if k == n else g.nodes.orderBy(F.xxhash64("node"), "node").limit(k)
+    size = max(1, pairs // max(n, 1))
+    numbered = cut_lineage(prefix_number(src.select(F.col("node").alias("s")), "s"))
+    total = None
+    for at in range(0, k, size):
+        part = _batch(numbered.where(F.col("_no").between(at, at + size - 1)).select("s"), adj)
+        if total is not None:
+            both = cut_lineage(total.unionByName(part).groupBy("v").agg(F.sum("delta").alias("delta")))
+            _removed([total, part])
+            part = both
+        total = part
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else 0.5
-    scale = scale * n / k if k < n else scale
-    return (g.nodes.join(b.withColumnRenamed("v", "node"), "node", "left")
-            .select("node", (F.coalesce(F.col("_b"), F.lit(0.0)) * scale).alias("betweenness_centrality")))
+    scale = scale * n / k if 0 < k < n else scale
+    if total is None:
+        return g.nodes.select("node", F.lit(0.0).alias("betweenness_centrality"))
+    return (g.nodes.join(total.withColumnRenamed("v", "node"), "node", "left")
+            .select("node", (F.coalesce(F.col("delta"), F.lit(0.0)) * scale).alias("betweenness_centrality")))
 
 
 #: Sources of one batch: the bits of Spark's bitmap aggregates (4 KB a node).

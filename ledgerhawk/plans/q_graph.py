@@ -276,8 +276,6 @@ def q_modularity(spark, sf):
 
 
 # ------------------------------------------------------------ paths, node table, role joins
-# Exact betweenness over all sources keeps a row per (source, node): as an
-# operator with explicit pivots it scales, as a query over everything it does not.
 def _closeness_sql(levels: int) -> str:
     loop = [("num", "SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM nodes"),
             ("s0", "SELECT node, set_bit(bitstring('0', CAST(n AS INTEGER)), CAST(i AS INTEGER), 1) AS b FROM num, nn")]
@@ -298,11 +296,18 @@ def q_closeness(spark, sf):
     return finish(closeness(_g(spark, sf)).select("node", F.round("closeness_centrality", R).alias("closeness_centrality")))
 
 
+@register("betweenness")
+def q_betweenness(spark, sf):
+    """Exact betweenness over all sources."""
+    from ..operators.graph.paths import betweenness
+    return finish(betweenness(_g(spark, sf)).select("node", F.round("betweenness_centrality", R).alias("betweenness_centrality")))
+
+
 @register("node_features")
 def q_node_features(spark, sf):
-    """The node table (J19) without betweenness."""
+    """The node table."""
     from ..operators.graph.table import node_features
-    return finish(node_features(ad.graph_transactions(spark, sf), with_betweenness=False))
+    return finish(node_features(ad.graph_transactions(spark, sf)))
 
 
 ROLE_COLS = ["degree_centrality", "clustering_coefficient", "triangle_count", "in_degree_weighted",

@@ -119,3 +119,12 @@ def test_closeness_of_parts_and_of_a_path(spark):
     c = as_map(closeness(graph(spark, [(1, 2), (2, 3), (3, 4), (11, 12)])), "closeness_centrality")
     assert c["1"] == pytest.approx(3 / 6 * 3 / 5) and c["2"] == pytest.approx(3 / 4 * 3 / 5)
     assert c["11"] == pytest.approx(1 / 1 * 1 / 5)
+
+
+def test_betweenness_in_batches_is_exact_and_registered(spark):
+    from ledgerhawk.operators.graph.paths import betweenness
+    from ledgerhawk.plans import q_graph
+    g = graph(spark, [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5)])
+    b = as_map(betweenness(g, normalized=False, pairs=15), "betweenness_centrality")  # three sources a batch
+    assert b == pytest.approx({"1": 1.0, "2": 0.5, "3": 1.0, "4": 3.5, "5": 0.0})
+    assert callable(q_graph.q_betweenness)
