@@ -41,7 +41,7 @@ MIN_COUNT = 100
 #: Bits of the frequent-pair filter (32 MB).
 FILTER_BITS = 28
 #: Text bytes worked on at once (a longer text stands alone).
-SLICE = 2_000_000
+SLICE = 1_000_000
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = np.arange(256, dtype=np.uint8)
