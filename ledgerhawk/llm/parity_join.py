@@ -8,9 +8,17 @@ of differing words (the Hamming distance over words) is a lower bound of the
 symmetric difference, and linked documents agree in every word that none of
 those few shingles hit: by the pigeonhole principle they share words that are
 not empty.  Those words, with band and place, are the join keys.  Of its q
-words a document joins on the d + 1 + slack least keys, where d bounds the
+words a document joins on the d + 1 + slack first keys, where d bounds the
 difference to any partner: linked documents then share at least 1 + the smaller
-slack of the two of them.  Shared keys are candidates; the sets themselves decide.
+slack of the two of them, whatever the order, as long as all use the same.  The
+order is rarest first, by a table of counts (``BUCKETS`` of them, by hash): a
+document that shares a passage with many others, and differs in more than d
+words, joins on words that nobody else has.
+
+Shared keys are candidates.  Of each pair the parity bits are compared first: a
+shingle flips one bit of the larger set's two bits a shingle, so the Hamming
+distance of two bit sketches is a lower bound of the symmetric difference too,
+and a pair beyond (|A| + |B|) / 7 goes.  The sets themselves decide the rest.
 
 The band of a pair is that of its larger set; a set near the upper end of its
 band also joins in the next.  A set whose words do not outnumber d (tiny sets
@@ -23,14 +31,14 @@ in both are one.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import removed, stored, texts
 from .groups import linked, pruned
 from .tokens import mix, row_slices, span_hash, text_bytes
 
@@ -38,6 +46,9 @@ WORDS, PERCENT = 5, 75
 _ODD = np.random.default_rng(8).integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
 _BAND = np.random.default_rng(9).integers(0, 2**64, 64, dtype=np.uint64)
 _U = np.uint64
+#: Counts of words by hash that order the keys (one byte each is broadcast).
+BUCKETS = 1 << 24
+_CHUNK = 1 << 14
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> Iterator[np.ndarray]:
@@ -75,19 +86,34 @@ def band_of(n: int) -> int:
     return e
 
 
-def keys(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, number that any partner shares, join keys) of a set that is not empty."""
+def words(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(band, bound d of the difference to any partner, sketch words) of a set
+    that is not empty."""
     n = len(shingles)
-    own = band_of(n)
     largest = 4 * n // 3
-    for e in range(own, band_of(largest) + 1):
+    for e in range(band_of(n), band_of(largest) + 1):
         top = 16 << e
         parts = (top * 9 + 19) // 20 + 24
-        d = (n + min(largest, top)) // 7
         place = ((shingles >> _U(32)) * _U(parts)) >> _U(32)  # ascending, as the shingles are
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        words = np.bitwise_xor.reduceat(mix(shingles), first)
-        got = np.sort(mix(words + place[first] * _ODD[9] + _BAND[e]))
+        xor = np.bitwise_xor.reduceat(mix(shingles), first)
+        yield e, (n + min(largest, top)) // 7, mix(xor + place[first] * _ODD[9] + _BAND[e])
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(40)).astype(np.int64)  # 2 ** 24 of them
+
+
+def keys(shingles: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(band, number that any partner shares, join keys) of a set that is not
+    empty; rarest first by ``counts``, ties by hash."""
+    n = len(shingles)
+    largest = 4 * n // 3
+    for e, d, got in words(shingles):
+        top = 16 << e
+        got = np.sort(got)
+        if counts is not None:
+            got = got[np.argsort(counts[bucket(got)], kind="stable")]
         slack = 4 + d // 8
         # a partner's keys may end earlier: those of the smallest one leave the least slack
         least = (3 * n + 3) // 4
@@ -97,31 +123,98 @@ def keys(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
             yield 100 + e, least, np.sort(mix(shingles + ~_BAND[e]))
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Parity sketch: each shingle flips one of 32 * 2^band bits, packed in words."""
+    bits = 32 << band_of(len(shingles))
+    flips = np.bincount((mix(shingles ^ _ODD[10]) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint8)
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two parity sketches; the longer one is folded (bit
+    places are hashes modulo the length, and parities add by XOR)."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_SIZES = "node long, doc_id long, text_hash long, n_shingles long, set_hash long, set_check long, chunk int, counts binary"
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document, and at the task's end its counts of words in chunks."""
+    names = [c.split()[0] for c in _SIZES.split(", ")]
+    counts = np.zeros(BUCKETS, np.uint16)
     for batch in batches:
-        column, n, h = batch.column("text"), [], []
+        column, n, h, g = batch.column("text"), [], [], []
         for at, to in row_slices(column):
+            met = []
             for s in shingle_rows(*text_bytes(column.slice(at, to - at))):
                 n.append(len(s))
                 h.append(mix(s).sum() if len(s) else _U(0))
+                g.append(mix(s ^ _ODD[11]).sum() if len(s) else _U(0))
+                if len(s):
+                    met += [got for *_, got in words(s)]
+            if met:
+                which, many = np.unique(bucket(np.concatenate(met)), return_counts=True)
+                counts[which] = np.minimum(counts[which] + many, 60_000)
+        long = lambda x: pa.array(np.array(x, _U).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(np.array(h, _U).view(np.int64))],
-            ["node", "doc_id", "text_hash", "n_shingles", "set_hash"])
+            [batch.column("node"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), long(h), long(g),
+             pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+    parts = counts.reshape(-1, _CHUNK)
+    some = np.flatnonzero(parts.any(axis=1))
+    for at in range(0, len(some), 64):
+        which = some[at:at + 64]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(which), pa.int64())] * 6, pa.array(which.astype(np.int32)),
+                                          pa.array([parts[i].tobytes() for i in which], pa.binary())], names)
+
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of one number, which come together, as one chunk of counts up to 255."""
+    def whole(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        data = np.minimum(total, 255).astype(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data], pa.binary())], ["chunk", "counts"])
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, total = None, None
     for batch in batches:
-        column, nodes = batch.column("text"), batch.column("node").to_numpy()
-        for at, to in row_slices(column):
-            found = [(node, e, g, k) for node, s in zip(nodes[at:to].tolist(), shingle_rows(*text_bytes(column.slice(at, to - at))))
-                     if len(s) for e, g, k in keys(s)]
-            if found:
-                many = [len(k) for *_, k in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([k for *_, k in found]).view(np.int64)),
-                     pa.array(np.repeat(np.array([f[0] for f in found], np.int64), many)),
-                     pa.array(np.repeat(np.array([f[1] for f in found], np.int32), many)),
-                     pa.array(np.repeat(np.array([f[2] for f in found], np.int32), many))], ["sig", "node", "part", "sure"])
+        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+            if chunk != now:
+                if now is not None:
+                    yield whole(now, total)
+                now, total = chunk, np.zeros(_CHUNK, np.int64)
+            total += np.frombuffer(data.as_buffer(), np.uint16)
+    if now is not None:
+        yield whole(now, total)
+
+
+def word_counts(chunks: DataFrame) -> np.ndarray:
+    """Counts (to 255) of all words by bucket: BUCKETS bytes, whatever the data."""
+    rows = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary").toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    for chunk, data in zip(rows.column("chunk").to_pylist(), rows.column("counts").to_pylist()):
+        out[chunk * _CHUNK:(chunk + 1) * _CHUNK] = np.frombuffer(data, np.uint8)
+    return out
+
+
+def _keys(counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = counts.value
+        for batch in batches:
+            column, nodes = batch.column("text"), batch.column("node").to_numpy()
+            for at, to in row_slices(column):
+                found = [(node, e, g, k) for node, s in zip(nodes[at:to].tolist(), shingle_rows(*text_bytes(column.slice(at, to - at))))
+                         if len(s) for e, g, k in keys(s, rare)]
+                if found:
+                    many = [len(k) for *_, k in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([k for *_, k in found]).view(np.int64)),
+                         pa.array(np.repeat(np.array([f[0] for f in found], np.int64), many)),
+                         pa.array(np.repeat(np.array([f[1] for f in found], np.int32), many)),
+                         pa.array(np.repeat(np.array([f[2] for f in found], np.int32), many))], ["sig", "node", "part", "sure"])
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +243,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
         for at, to in row_slices(column):
-            sets = [s.tobytes() for s in shingle_rows(*text_bytes(column.slice(at, to - at)))]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, to - at), pa.array(sets, pa.binary())], ["node", "shingles"])
+            sets = list(shingle_rows(*text_bytes(column.slice(at, to - at))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(at, to - at), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
+                ["node", "shingles", "n", "bits"])
+
+
+def _near_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and parity bits allow a link."""
+    for batch in batches:
+        keep = []
+        for x, y, n, m in zip(batch.column("_x"), batch.column("_y"), batch.column("_n").to_pylist(), batch.column("_m").to_pylist()):
+            keep.append(100 * min(n, m) >= PERCENT * max(n, m)
+                        and 7 * hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= n + m)
+        kept = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
 
 def _similar(percent: int):
@@ -160,9 +267,6 @@ def _similar(percent: int):
             keep = []
             for x, y in zip(batch.column("_x"), batch.column("_y")):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             kept = pa.array(keep, pa.bool_())
@@ -170,6 +274,19 @@ def _similar(percent: int):
     return run
 
 
+def _verify(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def both(pairs: DataFrame, column: str, *more: tuple[str, str, str]) -> DataFrame:
+        side = lambda end, to, i: sets.select(F.col("node").alias(end), F.col(column).alias(to), *[F.col(m[0]).alias(m[i]) for m in more])
+        return pairs.join(side("a", "_x", 1), "a").join(side("b", "_y", 2), "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = both(pairs.select("a", "b"), "bits", ("n", "_n", "_m")).select("a", "b", "_x", "_y", "_n", "_m").mapInArrow(_near_bits, "a long, b long")
+        near = stored(near, "near")
+        return both(near, "shingles").select("a", "b", "_x", "_y").mapInArrow(_similar(PERCENT), "a long, b long")
+
+    return verify
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that
     links reach), kept (the
@@ -179,29 +296,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeated = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     node = F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")
     rows = rows.select("doc_id", "text", node.alias("node"), F.xxhash64("text").alias("text_hash"))
-    sizes = stored(rows.mapInArrow(_sizes, "node long, doc_id long, text_hash long, n_shingles long, set_hash long"), "sizes")
+    seen = stored(rows.mapInArrow(_sizes, _SIZES), "sizes")
+    sizes = seen.where("chunk is null").drop("chunk", "counts")
+    counts = docs.sparkSession.sparkContext.broadcast(word_counts(seen.where("chunk is not null").select("chunk", "counts")))
     # equal sets are one node
-    reps = sizes.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("node").alias("node"))
+    reps = sizes.where("n_shingles > 0").groupBy("set_hash", "set_check", "n_shingles").agg(F.min("node").alias("node"))
     reps = stored(reps, "sets")
-    keyed = rows.select("node", "text").mapInArrow(_keys, "sig long, node long, part int, sure int")
+    keyed = rows.select("node", "text").mapInArrow(_keys(counts), "sig long, node long, part int, sure int")
     shared = (keyed.repartition("sig").sortWithinPartitions("sig")
               .mapInArrow(_shared, "sig long, node long, part int, sure int"))
     members = shared.join(reps.select("node"), "node", "left_semi").dropDuplicates(["sig", "node"])
     members = pruned(members)
     wanted = members.select("node").distinct()
     sets = stored(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-                  .mapInArrow(_sets, "node long, shingles binary"), "shingles")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a")
-        with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
-        return with_y.select("a", "b", "_x", "_y").mapInArrow(_similar(PERCENT), "a long, b long")
-
+                  .mapInArrow(_sets, "node long, shingles binary, n long, bits binary"), "shingles")
+    verify = _verify(sets)
     labels, links = linked(members, verify)
+    removed(sets)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     found = (reps.join(labels, "node", "left").join(degree, "node", "left")
-             .select("set_hash", "n_shingles", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_verified", F.lit(0)).alias("n_verified")))
-    out = sizes.join(found, ["set_hash", "n_shingles"], "left")
+             .select("set_hash", "set_check", "n_shingles", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_verified", F.lit(0)).alias("n_verified")))
+    out = sizes.join(found, ["set_hash", "set_check", "n_shingles"], "left")
     smallest = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"),
                                                                  F.min(F.struct("doc_id", "text_hash")).alias("_first"))
     out = out.join(smallest, "comp", "left")

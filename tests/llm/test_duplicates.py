@@ -266,3 +266,52 @@ def test_sure_keys_hold_for_the_smallest_partner():
             for part, _, k in parity_join.keys(spread(m)):
                 if part in of_n and part < 100:
                     assert of_n[part] <= len(k) - (m + min(4 * m // 3, 16 << part)) // 7
+
+
+def test_rarest_first_keys_share_as_many_as_promised():
+    rng = np.random.default_rng(14)
+    counts = rng.integers(0, 4, parity_join.BUCKETS).astype(np.uint8)
+    for n in [1, 3, 7, 16, 40, 64, 200, 257, 700]:
+        for _ in range(8):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            both = int(np.ceil(0.86 * n))  # then (2 - 0.86) sets in the union leave 0.75
+            b = np.unique(np.append(a[rng.permutation(n)[:both]], rng.integers(0, 2**64, n - both, dtype=np.uint64)))
+            if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+                continue
+            ka, kb = ({e: (g, set(k.tolist())) for e, g, k in parity_join.keys(x, counts)} for x in (a, b))
+            pair = parity_join.band_of(max(len(a), len(b)))
+            assert any(len(ka[e][1] & kb[e][1]) >= max(1, min(ka[e][0], kb[e][0])) for e in ka if e in kb and e % 100 == pair)
+
+
+def test_parity_bits_bound_the_difference_from_below():
+    rng = np.random.default_rng(15)
+    for n in [1, 2, 8, 9, 16, 17, 33, 100, 500, 2000]:
+        for m in {max(1, n // 2), n, 2 * n}:
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.append(a[:rng.integers(0, n + 1)], rng.integers(0, 2**64, m, dtype=np.uint64)))
+            distance = parity_join.hamming(parity_join.parity_bits(a), parity_join.parity_bits(b))
+            assert distance <= len(np.setxor1d(a, b))
+            assert parity_join.hamming(parity_join.parity_bits(a), parity_join.parity_bits(a.copy())) == 0
+    far = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(2)]
+    assert 7 * parity_join.hamming(*map(parity_join.parity_bits, far)) > 1000  # unrelated sets are rejected by their bits
+
+
+def test_a_family_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """300 documents that share 55 to 70 of 100 of their words, and no link."""
+    rng, passage = random.Random(21), [f"p{i}" for i in range(400)]
+    rows = []
+    for i in range(300):
+        keep = rng.randrange(280, 340)
+        rows.append((i, " ".join(passage[:keep] + [f"own{i}x{j}" for j in range(440 - keep)])))
+    tested = []
+    original = groups.linked
+
+    def counting(members, verify, pivots=8):
+        def verify_and_count(pairs):
+            tested.append(pairs.count())
+            return verify(pairs)
+        return original(members, verify_and_count, pivots)
+
+    monkeypatch.setattr(parity_join, "linked", counting)
+    assert got_near(frame(spark, rows)) == near(rows)
+    assert sum(tested) < 10 * len(rows)
