@@ -93,7 +93,7 @@ def words(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     largest = 4 * n // 3
     for e in range(band_of(n), band_of(largest) + 1):
         top = 16 << e
-        parts = (top * 9 + 19) // 20 + 24
+        parts = 2 * top + 24  # few shingles share a place, so a document's own ones spoil few shared words
         place = ((shingles >> _U(32)) * _U(parts)) >> _U(32)  # ascending, as the shingles are
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         xor = np.bitwise_xor.reduceat(mix(shingles), first)
