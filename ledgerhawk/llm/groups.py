@@ -82,10 +82,23 @@ def pruned(members: DataFrame, busy: int = 16) -> DataFrame:
     return _without_few(stored(kept.select("sig", "node", "part", "sure"), "members"), "node")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+def _trimmed(rows: DataFrame) -> DataFrame:
+    """Leave out of each node's signatures of a part the ``sure`` - 1 that most
+    nodes have.  A pair shares ``sure`` of them, so the least crowded one they
+    share stays with both."""
+    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_size"))
+    order = Window.partitionBy("node", "part").orderBy(F.desc("_size"), "sig")  # as many rows as a node has keys
+    ranked = rows.join(sizes, "sig").withColumn("_crowd", F.row_number().over(order))
+    return ranked.where(F.col("_crowd") >= F.col("sure")).select("sig", "node", "comp")
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 8,
+           met: tuple[DataFrame, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Components (node, comp) and the links (a, b) that were verified.
     ``members`` has sig, node and, if ``pruned``, part and sure; ``verify``
-    keeps the pairs (a, b), a < b, that are links."""
+    keeps the pairs (a, b), a < b, that are links.  ``met`` gives columns of the
+    nodes and a condition on structs x and y of them, without which two nodes
+    that meet in a group cannot be linked."""
     counted = "sure" in members.columns
     members = stored(members, "members")
     once = stored(_once(members.select("sig", "node")), "once")
@@ -103,18 +116,24 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
 
     rows = stored(still_open(members, labels), "open")
     if counted:  # a node shares as many signatures with a partner in another component, all of them open
-        rows = _without_few(rows, "comp")
+        rows = _trimmed(_without_few(rows, "comp"))
     rows = stored(_once(rows), "once")
     sized = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy("sig").orderBy("_n", "comp", "node")
-    rows = stored(rows.join(sized, ["sig", "comp"]).select("sig", "node", F.row_number().over(order).alias("_rank")), "ranked")
+    rows = rows.join(sized, ["sig", "comp"]).select("sig", "node", F.row_number().over(order).alias("_rank"))
+    if met:
+        about, allowed = met
+        rows = rows.join(about.select("node", F.struct(*[c for c in about.columns if c != "node"]).alias("x")), "node")
+    else:
+        rows, allowed = rows.withColumn("x", F.lit(None).cast("int")), "true"
+    rows = stored(rows.select("sig", "node", "_rank", "x"), "ranked")
     done, upto = 0, pivots
     while True:
         now = stored(still_open(rows, labels), "round")
         pivot = now.where(F.col("_rank").between(done + 1, upto)).select("sig", F.col("node").alias("_p"), F.col("comp").alias("_pc"),
-                                                                         F.col("_rank").alias("_pr"))
-        met = now.join(pivot, "sig").where("comp <> _pc and _rank > _pr")
-        pairs = met.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
+                                                                         F.col("_rank").alias("_pr"), F.col("x").alias("y"))
+        near = now.join(pivot, "sig").where(f"comp <> _pc and _rank > _pr and {allowed}")
+        pairs = near.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             more = stored(verify(pairs), "links")

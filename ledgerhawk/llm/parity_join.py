@@ -16,7 +16,7 @@ document that shares a passage with many others, and differs in more than d
 words, joins on words that nobody else has.
 
 Shared keys are candidates.  Of each pair the parity bits are compared first: a
-shingle flips one bit of the larger set's two bits a shingle, so the Hamming
+shingle flips one bit, so the Hamming
 distance of two bit sketches is a lower bound of the symmetric difference too,
 and a pair beyond (|A| + |B|) / 7 goes.  The sets themselves decide the rest.
 
@@ -31,6 +31,7 @@ in both are one.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,8 +48,10 @@ _ODD = np.random.default_rng(8).integers(0, 2**64, 16, dtype=np.uint64) | np.uin
 _BAND = np.random.default_rng(9).integers(0, 2**64, 64, dtype=np.uint64)
 _U = np.uint64
 #: Counts of words by hash that order the keys (one byte each is broadcast).
-BUCKETS = 1 << 24
+BUCKETS = 1 << 22
 _CHUNK = 1 << 14
+#: Parity bits that pairs are compared by as they meet.
+FOLD = 1024
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> Iterator[np.ndarray]:
@@ -79,20 +82,24 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> Itera
 
 
 def band_of(n: int) -> int:
-    """Sizes of band e lie in (8 * 2^e, 16 * 2^e]; band 0 begins at 1."""
+    """Sizes of band e lie in (16^e, 16^(e + 1)]; band 0 begins at 1."""
     e = 0
-    while n > 16 << e:
+    while n > top_of(e):
         e += 1
     return e
 
 
+def top_of(band: int) -> int:
+    return 16 << 4 * band
+
+
 def words(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(band, bound d of the difference to any partner, sketch words) of a set
     that is not empty."""
     n = len(shingles)
     largest = 4 * n // 3
     for e in range(band_of(n), band_of(largest) + 1):
-        top = 16 << e
+        top = top_of(e)
         parts = 2 * top + 24  # few shingles share a place, so a document's own ones spoil few shared words
         place = ((shingles >> _U(32)) * _U(parts)) >> _U(32)  # ascending, as the shingles are
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -101,7 +108,7 @@ def words(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(40)).astype(np.int64)  # 2 ** 24 of them
+    return (hashes >> _U(42)).astype(np.int64)  # 2 ** 22 of them
 
 
 def keys(shingles: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -110,7 +117,7 @@ def keys(shingles: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tup
     n = len(shingles)
     largest = 4 * n // 3
     for e, d, got in words(shingles):
-        top = 16 << e
+        top = top_of(e)
         got = np.sort(got)
         if counts is not None:
             got = got[np.argsort(counts[bucket(got)], kind="stable")]
@@ -123,11 +130,12 @@ def keys(shingles: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tup
             yield 100 + e, least, np.sort(mix(shingles + ~_BAND[e]))
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """Parity sketch: each shingle flips one of 32 * 2^band bits, packed in words."""
-    bits = 32 << band_of(len(shingles))
+def parity_bits(shingles: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Parity sketch: each shingle flips one bit; by default there are two to
+    four bits a shingle, a power of two."""
+    bits = bits or max(32, 2 << int(len(shingles) - 1).bit_length())
     flips = np.bincount((mix(shingles ^ _ODD[10]) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint8)
+    return np.packbits(flips.astype(np.uint8), bitorder="little")
 
 
 def hamming(x: np.ndarray, y: np.ndarray) -> int:
@@ -146,7 +154,7 @@ _SIZES = "node long, doc_id long, text_hash long, n_shingles long, set_hash long
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the task's end its counts of words in chunks."""
     names = [c.split()[0] for c in _SIZES.split(", ")]
-    counts = np.zeros(BUCKETS, np.uint16)
+    counts = np.zeros(BUCKETS, np.uint32)
     for batch in batches:
         column, n, h, g = batch.column("text"), [], [], []
         for at, to in row_slices(column):
@@ -159,7 +167,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     met += [got for *_, got in words(s)]
             if met:
                 which, many = np.unique(bucket(np.concatenate(met)), return_counts=True)
-                counts[which] = np.minimum(counts[which] + many, 60_000)
+                counts[which] += many.astype(np.uint32)
         long = lambda x: pa.array(np.array(x, _U).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), long(h), long(g),
@@ -169,13 +177,14 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(some), 64):
         which = some[at:at + 64]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(which), pa.int64())] * 6, pa.array(which.astype(np.int32)),
-                                          pa.array([parts[i].tobytes() for i in which], pa.binary())], names)
+                                          pa.array([zlib.compress(parts[i].tobytes(), 1) for i in which], pa.binary())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of one number, which come together, as one chunk of counts up to 255."""
+    """Chunks of one number, which come together, as one chunk of levels: eight
+    to a doubling of the count."""
     def whole(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-        data = np.minimum(total, 255).astype(np.uint8).tobytes()
+        data = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data], pa.binary())], ["chunk", "counts"])
 
     now, total = None, None
@@ -185,13 +194,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield whole(now, total)
                 now, total = chunk, np.zeros(_CHUNK, np.int64)
-            total += np.frombuffer(data.as_buffer(), np.uint16)
+            total += np.frombuffer(zlib.decompress(data.as_buffer()), np.uint32)
     if now is not None:
         yield whole(now, total)
 
 
 def word_counts(chunks: DataFrame) -> np.ndarray:
-    """Counts (to 255) of all words by bucket: BUCKETS bytes, whatever the data."""
+    """Count levels of all words by bucket: BUCKETS bytes, whatever the data."""
     rows = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary").toArrow()
     out = np.zeros(BUCKETS, np.uint8)
     for chunk, data in zip(rows.column("chunk").to_pylist(), rows.column("counts").to_pylist()):
@@ -246,8 +255,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingle_rows(*text_bytes(column.slice(at, to - at))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").slice(at, to - at), pa.array([s.tobytes() for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                ["node", "shingles", "n", "bits"])
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                 pa.array([parity_bits(s, FOLD).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["node", "shingles", "n", "bits", "fold"])
 
 
 def _near_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +319,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = pruned(members)
     wanted = members.select("node").distinct()
     sets = stored(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-                  .mapInArrow(_sets, "node long, shingles binary, n long, bits binary"), "shingles")
+                  .mapInArrow(_sets, "node long, shingles binary, n long, bits binary, fold array<long>"), "shingles")
     verify = _verify(sets)
-    labels, links = linked(members, verify)
+    met = (sets.select("node", "n", "fold"), f"{PERCENT} * greatest(x.n, y.n) <= 100 * least(x.n, y.n) AND "
+           "7 * aggregate(zip_with(x.fold, y.fold, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= x.n + y.n")
+    labels, links = linked(members, verify, met=met)
     removed(sets)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     found = (reps.join(labels, "node", "left").join(degree, "node", "left")

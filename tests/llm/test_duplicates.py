@@ -265,7 +265,7 @@ def test_sure_keys_hold_for_the_smallest_partner():
         for m in {(3 * n + 3) // 4, n, 4 * n // 3}:
             for part, _, k in parity_join.keys(spread(m)):
                 if part in of_n and part < 100:
-                    assert of_n[part] <= len(k) - (m + min(4 * m // 3, 16 << part)) // 7
+                    assert of_n[part] <= len(k) - (m + min(4 * m // 3, parity_join.top_of(part))) // 7
 
 
 def test_rarest_first_keys_share_as_many_as_promised():
