@@ -306,11 +306,11 @@ def test_a_family_below_the_threshold_makes_few_pairs(spark, monkeypatch):
     tested = []
     original = groups.linked
 
-    def counting(members, verify, pivots=8):
+    def counting(members, verify, **more):
         def verify_and_count(pairs):
             tested.append(pairs.count())
             return verify(pairs)
-        return original(members, verify_and_count, pivots)
+        return original(members, verify_and_count, **more)
 
     monkeypatch.setattr(parity_join, "linked", counting)
     assert got_near(frame(spark, rows)) == near(rows)
