@@ -53,7 +53,7 @@ def _without_few(rows: DataFrame, apart: str) -> DataFrame:
         after = stored(left.join(split, "sig", "left_semi"), "members")
         removed(rows)
         rows, was, n = after, n, after.count()
-        if n > 0.9 * was:
+        if n >= 0.9 * was:
             return rows
 
 
@@ -109,19 +109,17 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
     rows = stored(_once(rows), "once")
     sized = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy("sig").orderBy("_n", "comp", "node")
-    rows = rows.join(sized, ["sig", "comp"]).select("sig", "node", F.row_number().over(order).alias("_rank"))
-    if met:
-        about, allowed = met
-        rows = rows.join(about.select("node", F.struct(*[c for c in about.columns if c != "node"]).alias("x")), "node")
-    else:
-        rows, allowed = rows.withColumn("x", F.lit(None).cast("int")), "true"
-    rows = stored(rows.select("sig", "node", "_rank", "x"), "ranked")
+    rows = stored(rows.join(sized, ["sig", "comp"]).select("sig", "node", F.row_number().over(order).alias("_rank")), "ranked")
+    about, allowed = met or (None, "true")
     done, upto = 0, pivots
     while True:
         now = stored(still_open(rows, labels), "round")
-        pivot = now.where(F.col("_rank").between(done + 1, upto)).select("sig", F.col("node").alias("_p"), F.col("comp").alias("_pc"),
+        wide = now.withColumn("x", F.lit(None).cast("int"))
+        if about is not None:
+            wide = now.join(about.select("node", F.struct(*[c for c in about.columns if c != "node"]).alias("x")), "node")
+        pivot = wide.where(F.col("_rank").between(done + 1, upto)).select("sig", F.col("node").alias("_p"), F.col("comp").alias("_pc"),
                                                                          F.col("_rank").alias("_pr"), F.col("x").alias("y"))
-        near = now.join(pivot, "sig").where(f"comp <> _pc and _rank > _pr and {allowed}")
+        near = wide.join(pivot, "sig").where(f"comp <> _pc and _rank > _pr and {allowed}")
         pairs = near.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
@@ -134,4 +132,4 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
         if not rest:
             return labels, links
         tested = tested.union(pairs)
-        done, upto = upto, upto * 4
+        done, upto = upto, upto * 8

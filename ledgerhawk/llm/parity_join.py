@@ -227,19 +227,14 @@ def _keys(counts):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys that several nodes have, each once; the rows come sorted by
-    key and node.  Only the last row is held back, until the next one shows
-    whether its key is shared."""
+    """Rows of keys that several rows have; the rows come sorted by key.  Only
+    the last row is held back, until the next one shows whether its key is shared."""
     held, given = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if held is None else [held, batch])
-        sig, node = table.column("sig").to_numpy(), table.column("node").to_numpy()
-        first = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-        if not first.all():
-            table = table.filter(pa.array(first))
-            sig = sig[first]
+        sig = table.column("sig").to_numpy()
         same = sig[1:] == sig[:-1]
         keep = np.append(same, False)
         keep[1:] |= same
@@ -316,9 +311,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sizes.where("n_shingles > 0").groupBy("set_hash", "set_check", "n_shingles").agg(F.min("node").alias("node"))
     reps = stored(reps, "sets")
     keyed = rows.select("node", "text").mapInArrow(_keys(counts), "sig long, node long, part int, sure int")
-    shared = (keyed.repartition("sig").sortWithinPartitions("sig", "node")
+    shared = (keyed.repartition("sig").sortWithinPartitions("sig")
               .mapInArrow(_shared, "sig long, node long, part int, sure int"))
-    members = pruned(shared.join(reps.select("node"), "node", "left_semi"))
+    members = shared.join(reps.select("node"), "node", "left_semi")
+    members = pruned(members.dropDuplicates(["sig", "node"]) if repeated else members)
     wanted = members.select("node").distinct()
     sets = stored(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
                   .mapInArrow(_sets, "node long, shingles binary, n long, bits binary, fold array<long>"), "shingles")
