@@ -8,14 +8,8 @@ bounded (the reference used processing-time TTL keys instead).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.credit import INITIAL_LIMIT, INITIAL_TRUST, step
 
 # --- fixed values of the anomaly rules -----------------------------------------
 ERRORS_PER_HOUR = 10
@@ -52,8 +46,10 @@ def edge_counters(events: DataFrame, watermark: str = "1 day") -> DataFrame:
         "source_user", "target_entity", F.col("w.start").alias("window_start"), "connection_weight", "txn_count")
 
 
-def anomalies(logs: DataFrame, order_id: str = "event_id") -> DataFrame:
-    """Per-event anomaly rows (batch twin of ``AnomalyProcessor``) (L9):
+def anomalies(logs: DataFrame, order_id: str = "event_id", expire_seconds: int | None = None) -> DataFrame:
+    """Per-event anomaly rows (batch twin of ``timed.anomaly_stream``).
+    With ``expire_seconds`` a user's response times are forgotten when none
+    came for so long, and the mean starts anew (L6):
 
     * high_error_rate (medium): status >= 500 and more than 10 errors in the
       user's event hour so far;
@@ -76,7 +72,15 @@ def anomalies(logs: DataFrame, order_id: str = "event_id") -> DataFrame:
         f = w.rowsBetween(-(RESPONSE_HISTORY - 1), 0)
         return [F.coalesce(F.avg(F.when(rt > 0, rt)).over(f), F.lit(1.0)).alias("_avg_rt")]
 
-    d = sequence_window(base, "user_id", ["_us", order_id], RESPONSE_HISTORY - 1, mean_rt).join(run, order_id)
+    key = "user_id"
+    if expire_seconds is not None:
+        timed = base.where(rt > 0).select(order_id, "user_id", "_us")
+        timed = sequence_window(timed, "user_id", ["_us", order_id], 1, lambda w: [
+            F.coalesce((F.col("_us") - F.lag("_us").over(w) >= expire_seconds * 1_000_000).cast("int"), F.lit(1)).alias("_new")])
+        runs = prefix_sums(timed, ["_us", order_id], ["_new"], by="user_id").select(order_id, F.col("cum__new").alias("_run"))
+        base = base.join(runs, order_id, "left").withColumn("_key", F.concat_ws("|", "user_id", F.coalesce("_run", F.lit(0))))
+        key = "_key"
+    d = sequence_window(base, key, ["_us", order_id], RESPONSE_HISTORY - 1, mean_rt).join(run, order_id)
     found = F.filter(F.array(
         F.when((F.col("status_code") >= 500) & (F.col("_errors") > ERRORS_PER_HOUR),
                F.struct(F.lit("high_error_rate").alias("type"), F.lit("medium").alias("severity"))),
@@ -97,79 +101,6 @@ def high_severity_alerts(anoms: DataFrame) -> DataFrame:
         F.to_json(F.struct("user_id", "anomaly_type", "severity", F.col("ts").cast("string").alias("ts"))).alias("value"))
 
 
-ANOMALY_SCHEMA = "event_id long, user_id string, ts timestamp_ntz, anomaly_type string, severity string"
-ANOMALY_STATE = "hour string, calls long, errors long, rts array<double>"
-
-
-def _anomaly_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        hour, calls, errors, rts = state.get
-        rts = list(rts)
-    else:
-        hour, calls, errors, rts = "", 0, 0, []
-    pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for ev, ts, status, rt in zip(pdf["event_id"], pdf["ts"], pdf["status_code"], pdf["response_time"]):
-        h = pd.Timestamp(ts).strftime("%Y-%m-%d:%H")
-        if h != hour:
-            hour, calls, errors = h, 0, 0
-        calls += 1
-        if status >= 400:
-            errors += 1
-        if rt > 0:
-            rts = (rts + [float(rt)])[-RESPONSE_HISTORY:]
-        avg = sum(rts) / len(rts) if rts else 1.0
-        if status >= 500 and errors > ERRORS_PER_HOUR:
-            out.append((ev, key[0], ts, "high_error_rate", "medium"))
-        if rt > SLOW_SECONDS and rt > avg * SLOW_FACTOR:
-            out.append((ev, key[0], ts, "unusual_response_time", "low"))
-        if calls > CALLS_PER_HOUR:
-            out.append((ev, key[0], ts, "high_api_frequency", "high"))
-    state.update((hour, calls, errors, rts))
-    yield pd.DataFrame(out, columns=["event_id", "user_id", "ts", "anomaly_type", "severity"])
-
-
-def anomaly_stream(logs: DataFrame) -> DataFrame:
-    """Streaming anomaly detector: per-user state (current hour, its calls
-    and errors, latest 101 response times), events in (time, id) order
-    within each micro-batch (L6, L9)."""
-    return logs.groupBy("user_id").applyInPandasWithState(
-        _anomaly_fn, ANOMALY_SCHEMA, ANOMALY_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-CREDIT_SCHEMA = ("agency_id long, txn_id long, action string, old_limit double, new_limit double, "
-                 "utilized_credit double, trust_score double, status string")
-CREDIT_STATE = "limit double, trust double, utilized double, status string"
-
-
-def _credit_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches)).sort_values(["ts", "txn_id"])
-    if state.exists:
-        lim, tr, ut, st = state.get
-        s = {"limit": lim, "trust": tr, "utilized": ut, "status": st}
-    else:
-        s = {"limit": INITIAL_LIMIT, "trust": INITIAL_TRUST, "utilized": 0.0, "status": "ACTIVE"}
-    out = []
-    for txn, risk, amount, cb in zip(pdf["txn_id"], pdf["overall_risk"], pdf["amount"], pdf["chargeback_rate"]):
-        r = step(s, float(risk), float(amount), float(cb))
-        out.append((int(key[0]), int(txn), r["action"], r["old_limit"], r["new_limit"], r["utilized_credit"],
-                    r["trust_score"], r["status"]))
-    state.update((s["limit"], s["trust"], s["utilized"], s["status"]))
-    yield pd.DataFrame(out, columns=["agency_id", "txn_id", "action", "old_limit", "new_limit", "utilized_credit",
-                                     "trust_score", "status"])
-
-
-def credit_stream(decided: DataFrame, agencies: DataFrame) -> DataFrame:
-    """Live credit decisions per agency; the same transition as the batch
-    fold, with the agency state in the state store (L13, I16)."""
-    d = decided.select(F.col("agency_id").cast("long").alias("agency_id"), F.col("txn_id").cast("long").alias("txn_id"),
-                       "overall_risk", "amount", "ts")
-    d = d.join(F.broadcast(agencies.select(F.col("agency_id").cast("long").alias("agency_id"), "chargeback_rate")),
-               "agency_id", "left").withColumn("chargeback_rate", F.coalesce("chargeback_rate", F.lit(0.0)))
-    return d.groupBy("agency_id").applyInPandasWithState(
-        _credit_fn, CREDIT_SCHEMA, CREDIT_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def merge_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert pre-aggregated edge deltas into the edge table on (source,
     target): weights and counts add, first / last interaction widen, the

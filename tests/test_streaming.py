@@ -1,10 +1,7 @@
-"""Replay equivalence: the stateful stream processors equal their batch twins."""
+"""Log parsing, events and the routed scoring stream (event-time state: test_timed.py)."""
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
-from ledgerhawk.operators.credit import credit_decisions
 from ledgerhawk.plans import q_rules as qr
 from ledgerhawk.sources import adapters as ad
 from ledgerhawk.streaming import logs as lg
@@ -13,35 +10,6 @@ from ledgerhawk.streaming import state as st
 SF = "/root/testdata/sf0.001"
 
 
-def _replay(spark, df, fn, name):
-    d = tempfile.mkdtemp(prefix="lh-replay-", dir="/tmp")
-    df.write.mode("overwrite").parquet(os.path.join(d, "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
-    q = (fn(stream).writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", os.path.join(d, "ck")).start())
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
-
-
-def test_anomaly_stream_equals_batch(spark):
-    logs = ad.applogs(spark, SF).select("event_id", "user_id", "ts", "status_code", "response_time")
-    batch = st.anomalies(logs)
-    streamed = _replay(spark, logs.coalesce(1).sortWithinPartitions("ts", "event_id"), st.anomaly_stream, "anom_s")
-    key = ["event_id", "anomaly_type", "severity"]
-    assert sorted(map(tuple, batch.select(*key).collect())) == sorted(map(tuple, streamed.select(*key).collect()))
-    assert batch.count() > 0
-
-
-def test_credit_stream_equals_batch_fold(spark):
-    d = qr.decision_frame(spark, SF).select("agency_id", "txn_id", "overall_risk", "amount", "ts")
-    a = ad.agencies(spark, SF)
-    batch = credit_decisions(d, a)
-    streamed = _replay(spark, d.coalesce(1), lambda s: st.credit_stream(s, a), "credit_s")
-    cols = ["agency_id", "txn_id", "action", "new_limit", "utilized_credit", "trust_score"]
-    assert sorted(map(tuple, batch.select(*cols).collect())) == sorted(map(tuple, streamed.select(*cols).collect()))
-
-
 def test_parse_logs_extracts_user_and_drops_bad(spark):
     raw = spark.createDataFrame([
         ('{"timestamp": "2024-01-01T10:00:00", "url": "/users/u42/profile"}',),
