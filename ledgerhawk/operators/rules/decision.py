@@ -28,7 +28,7 @@ RISK_CATEGORIES = [(0.7, "CRITICAL"), (0.5, "HIGH"), (0.3, "MEDIUM"), (0.15, "LO
 MODEL_BANDS = [(0.8, "HIGH"), (0.5, "MEDIUM")]
 DEPLOYMENT_BANDS = [(0.40, "HIGH"), (0.30, "MEDIUM-HIGH"), (0.20, "MEDIUM"), (0.10, "LOW-MEDIUM")]
 THREAT_LEVELS = [(0.8, "CRITICAL"), (0.6, "HIGH"), (0.4, "MEDIUM"), (0.2, "LOW")]
-THREAT_ACTIONS = [(0.8, "BLOCK"), (0.6, "CHALLENGE"), (0.4, "MONITOR"), (0.2, "LOG")]
+THREAT_ACTIONS = [(0.8, "BLOCK_IMMEDIATELY"), (0.6, "RATE_LIMIT"), (0.4, "ENHANCED_MONITORING"), (0.2, "LOG_AND_MONITOR")]
 HOUR_MICROS = 3600 * 1000000
 
 
