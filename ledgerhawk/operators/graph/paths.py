@@ -1,17 +1,22 @@
 """Shortest-path measures (J3 betweenness, J5 closeness) by multi-source
-breadth-first search over DataFrames.
-
-Betweenness expands its sources level by level, in batches over all nodes
-(unless the caller asks for ``k`` pivots, the ``k`` smallest ``xxhash64`` of the
-node id): the frontier is joined with the adjacency list, path counts (sigma)
-are summed per (source, node), and nodes already reached are removed with an
-anti join.  Dependencies are then pushed back level by level (Brandes).  Work
-is O(sources * edges) rows.
-Closeness is exact, from bitmaps of sources.
+breadth-first search.
+
+``shortest_paths`` takes sources in batches over all nodes (unless the caller
+asks for ``k`` pivots, the ``k`` smallest ``xxhash64`` of the node id).  A node's
+row holds a vector over the batch: path counts, distances, dependencies.  Edges
+and nodes are dealt by the node's number into parts; one step of the search is
+a join of both part by part, where numpy adds the vectors of a part's nodes to
+their neighbours' before anything is shuffled, and a second one that adds the
+parts' sums up.  Dependencies are pushed back level by level the same way
+(Brandes).  Distances are symmetric, so the same search gives closeness.  Work is
+O(sources * edges) additions; a step holds ``pairs`` / parts numbers a task.
+``closeness`` alone is exact from bitmaps of sources, without path counts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ from ...session import cut_lineage
 from .build import Graph
 
 
-#: Rows (source, node) of one batch of betweenness sources, at most.
+#: Numbers (source, node) of one batch of betweenness sources, at most.
 PAIRS = 20_000_000
 
 
@@ -32,59 +37,149 @@ def _removed(tables: list[DataFrame]) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _batch(src: DataFrame, adj: DataFrame) -> DataFrame:
-    """(v, delta) of the sources (s): dependencies summed per node."""
-    levels = [cut_lineage(src.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
-    while True:
-        cand = levels[-1].join(adj, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        # in an undirected search a neighbour lies in the last level, the one before, or is new
-        recent = levels[-1].select("s", "v")
-        if len(levels) > 1:
-            recent = recent.unionByName(levels[-2].select("s", "v"))
-        levels.append(cut_lineage(cand.join(recent, ["s", "v"], "left_anti")))
-        if levels[-1].limit(1).count() == 0:
-            break
-    deltas = [cut_lineage(levels[-2].select("s", "v", "sigma", F.lit(0.0).alias("delta")))]
-    for lower in levels[-3::-1]:
-        upper = deltas[-1].select("s", F.col("v").alias("w"), ((1 + F.col("delta")) / F.col("sigma")).alias("_share"))
-        back = adj.select(F.col("v").alias("w"), F.col("w").alias("v"))
-        share = upper.join(back, "w").groupBy("s", "v").agg(F.sum("_share").alias("_share"))
-        delta = F.col("sigma") * F.coalesce("_share", F.lit(0.0))
-        deltas.append(cut_lineage(lower.join(share, ["s", "v"], "left").select("s", "v", "sigma", delta.alias("delta"))))
-    total = deltas[0]
-    for d in deltas[1:]:
-        total = total.unionByName(d)
-    total = cut_lineage(total.where(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("delta")))
-    _removed(levels + deltas)
-    return total
-
-
-def betweenness(g: Graph, k: int | None = None, normalized: bool = True, pairs: int = PAIRS) -> DataFrame:
-    """Brandes betweenness, exact over all sources, or from ``k`` pivots scaled
-    like the reference library (1/((n-1)(n-2)) when normalised, x n/k when
-    sampled) (J3).  Sources are taken in batches of at most ``pairs`` rows
-    (source, node); a batch is summed per node and its tables are removed."""
+_STATE = "part int, v long, sigma binary, dist binary, delta binary, send binary"
+_SENT = "part int, v long, total binary"
+#: Numbers added up at once inside a task.
+_ADDED = 4_000_000
+
+
+def _floats(column) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.float64) for x in column])
+
+
+def _spread(parts: int):
+    """Sum, per neighbour, of the vectors that a part's nodes send."""
+    def run(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        state = state[state["send"].notna()].sort_values("v")
+        if not len(state) or not len(edges):
+            return pd.DataFrame({"part": [], "v": [], "total": []})
+        known, x = state["v"].to_numpy(), _floats(state["send"])
+        edges = edges.sort_values("w")
+        at = np.searchsorted(known, edges["v"].to_numpy())
+        at[at == len(known)] = 0
+        hit = known[at] == edges["v"].to_numpy()
+        at, to = at[hit], edges["w"].to_numpy()[hit]
+        step, nodes, sums = max(1, _ADDED // x.shape[1]), [], []
+        for i in range(0, len(to), step):  # a neighbour cut in two gives two rows
+            w = to[i:i + step]
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            nodes += w[first].tolist()
+            sums += [row.tobytes() for row in np.add.reduceat(x[at[i:i + step]], first, axis=0)]
+        return pd.DataFrame({"part": [n % parts for n in nodes], "v": nodes, "total": sums})
+    return run
+
+
+def _gathered(level: int, back: bool):
+    """The nodes of a part after what was sent to them."""
+    def run(state: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        totals: dict[int, np.ndarray] = {}
+        for v, x in zip(sent["v"], sent["total"]):
+            x = np.frombuffer(x, np.float64)
+            totals[v] = totals[v] + x if v in totals else x
+        out = []
+        for part, v, sigma, dist, delta in state[["part", "v", "sigma", "dist", "delta"]].itertuples(index=False, name=None):
+            sigma, dist, delta = np.frombuffer(sigma, np.float64), np.frombuffer(dist, np.int32), np.frombuffer(delta, np.float64)
+            got = totals.get(v)
+            if back:  # the nodes of this level hear from the one below, and tell the one above
+                here = dist == level
+                if got is not None:
+                    delta = np.where(here, sigma * got, delta)
+                send = np.where(here, (1 + delta) / np.where(sigma > 0, sigma, 1), 0.0) if here.any() and level > 0 else None
+            else:
+                fresh = (dist < 0) & (got > 0) if got is not None else None
+                send = None
+                if fresh is not None and fresh.any():
+                    dist, sigma, send = np.where(fresh, level, dist).astype(np.int32), np.where(fresh, got, sigma), np.where(fresh, got, 0.0)
+            out.append((part, v, sigma.tobytes(), dist.tobytes(), delta.tobytes(), None if send is None else send.tobytes()))
+        return pd.DataFrame(out, columns=["part", "v", "sigma", "dist", "delta", "send"])
+    return run
+
+
+def _begun(first: int, size: int):
+    """State of a part's nodes before a batch whose sources are numbered from ``first``."""
+    def run(nodes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part, v, source in nodes[["part", "v", "source"]].itertuples(index=False, name=None):
+            sigma, dist = np.zeros(size), np.full(size, -1, np.int32)
+            mine = source is not None and source == source and first <= source < first + size
+            if mine:
+                sigma[int(source) - first], dist[int(source) - first] = 1.0, 0
+            out.append((part, v, sigma.tobytes(), dist.tobytes(), np.zeros(size).tobytes(), sigma.tobytes() if mine else None))
+        return pd.DataFrame(out, columns=["part", "v", "sigma", "dist", "delta", "send"])
+    return run
+
+
+def _told(state: pd.DataFrame) -> pd.DataFrame:
+    """Per node: dependency, nodes reached and their distances, over the batch."""
+    out = []
+    for v, dist, delta in state[["v", "dist", "delta"]].itertuples(index=False, name=None):
+        dist, delta = np.frombuffer(dist, np.int32), np.frombuffer(delta, np.float64)
+        out.append((v, float(delta[dist > 0].sum()), int((dist > 0).sum()), int(dist[dist > 0].sum())))
+    return pd.DataFrame(out, columns=["v", "delta", "reached", "far"])
+
+
+def shortest_paths(g: Graph, k: int | None = None, normalized: bool = True, pairs: int = PAIRS) -> DataFrame:
+    """(node, betweenness_centrality, closeness_centrality): Brandes betweenness,
+    exact over all sources, or from ``k`` pivots scaled like the reference
+    library (1/((n-1)(n-2)) when normalised, x n/k when sampled) (J3), and, over
+    all sources, closeness with the component scaling (J5; null with pivots).
+    A batch holds at most ``pairs`` numbers (source, node); its tables go as
+    soon as it is summed."""
     g = g.checkpointed()
     n = g.nodes.count()
+    if n == 0:
+        return g.nodes.select("node", F.lit(0.0).alias("betweenness_centrality"), F.lit(0.0).alias("closeness_centrality"))
     k = n if k is None or k >= n else k
-    adj = g.adjacency.select(F.col("node").alias("v"), F.col("nbr").alias("w"))
-    src = g.nodes if k == n else g.nodes.orderBy(F.xxhash64("node"), "node").limit(k)
-    size = max(1, pairs // max(n, 1))
-    numbered = cut_lineage(prefix_number(src.select(F.col("node").alias("s")), "s"))
-    total = None
-    for at in range(0, k, size):
-        part = _batch(numbered.where(F.col("_no").between(at, at + size - 1)).select("s"), adj)
-        if total is not None:
-            both = cut_lineage(total.unionByName(part).groupBy("v").agg(F.sum("delta").alias("delta")))
-            _removed([total, part])
-            part = both
-        total = part
+    size = min(k, max(1, pairs // n))
+    parts = max(int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * size // 4_000_000)
+    names = cut_lineage(prefix_number(g.nodes, "node"))
+    picked = names if k == n else names.orderBy(F.xxhash64("node"), "node").limit(k)
+    order = prefix_number(picked.select("node"), "node").withColumnRenamed("_no", "source")
+    nodes = cut_lineage(names.join(order, "node", "left").select(
+        "node", F.col("_no").cast("long").alias("v"), (F.col("_no") % parts).cast("int").alias("part"), F.col("source").cast("long").alias("source")))
+    a = nodes.select("node", "v", "part")
+    b = nodes.select(F.col("node").alias("nbr"), F.col("v").alias("w"))
+    edges = cut_lineage(g.adjacency.select("node", "nbr").join(a, "node").join(b, "nbr").select("part", "v", "w")).groupBy("part")
+    sums = []
+    for first in range(0, k, size):
+        state = cut_lineage(nodes.groupBy("part").applyInPandas(_begun(first, size), _STATE))
+        level, back = 0, False
+        while True:
+            sent = edges.cogroup(state.groupBy("part")).applyInPandas(_spread(parts), _SENT)
+            level += -1 if back else 1
+            after = cut_lineage(state.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(_gathered(level, back), _STATE))
+            _removed([state])
+            state = after
+            if back and level <= 1:
+                break
+            if not back and state.where("send is not null").isEmpty():
+                back = True  # the deepest level hears nothing and tells the one above
+                after = cut_lineage(state.groupBy("part").cogroup(sent.limit(0).groupBy("part")).applyInPandas(_gathered(level - 1, True), _STATE))
+                _removed([state])
+                state, level = after, level - 1
+                if level <= 1:
+                    break
+        sums.append(cut_lineage(state.groupBy("part").applyInPandas(lambda s: _told(s), "v long, delta double, reached long, far long")))
+        _removed([state])
+        if len(sums) == 50:
+            sums = [cut_lineage(_added(sums))]
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else 0.5
     scale = scale * n / k if 0 < k < n else scale
-    if total is None:
-        return g.nodes.select("node", F.lit(0.0).alias("betweenness_centrality"))
-    return (g.nodes.join(total.withColumnRenamed("v", "node"), "node", "left")
-            .select("node", (F.coalesce(F.col("delta"), F.lit(0.0)) * scale).alias("betweenness_centrality")))
+    near = F.when(F.col("far") > 0, F.col("reached") / F.col("far") * (F.col("reached") / (n - 1))).otherwise(F.lit(0.0))
+    return nodes.join(_added(sums), "v").select("node", (F.col("delta") * scale).alias("betweenness_centrality"),
+                                                (near if k == n else F.lit(None).cast("double")).alias("closeness_centrality"))
+
+
+def _added(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("v").agg(*[F.sum(c).alias(c) for c in ("delta", "reached", "far")])
+
+
+def betweenness(g: Graph, k: int | None = None, normalized: bool = True, pairs: int = PAIRS) -> DataFrame:
+    """(node, betweenness_centrality) of ``shortest_paths``."""
+    return shortest_paths(g, k, normalized, pairs).select("node", "betweenness_centrality")
 
 
 #: Sources of one batch: the bits of Spark's bitmap aggregates (4 KB a node).
