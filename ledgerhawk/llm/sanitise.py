@@ -4,9 +4,11 @@ Protected entities are e-mail addresses, IP addresses, card and phone numbers.
 A term can reveal an entity it occurs with: over the whole corpus, with whole
 documents as events, ``log2(n(term, entity) N / (n(term) n(entity)))`` is the
 information a term gives about an entity, and ``log2(N / n(entity))`` all there
-is to know.  A term that gives at least ``disclosure`` of it, and is seen with
-the entity in at least ``support`` documents, is generalised like the entity
-itself, wherever it occurs.  Terms are words of three letters or digits or more,
+is to know.  A term that gives at least ``disclosure`` of it, names the entity in
+at least a share ``certainty`` of its own documents (otherwise a reader who
+sees it would more often be wrong than right), and is seen with it in at least
+``support`` different texts (copies are no further evidence), is generalised
+like the entity itself, wherever it occurs.  Terms are words of three letters or digits or more,
 hyphens and apostrophes within included, outside of entities.
 
 Patterns scan in one direction only (no nested repetition), so very long runs
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import removed, stored
+from .common import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")  # fixed order of the spans
 REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -124,13 +126,12 @@ def _distinct_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(_words(text)[0], F.lower))
 
 
-#: Frequent terms that are left out by a broadcast before pairs are made.
+#: Frequent terms, of at most 64 letters, that are left out by a broadcast before pairs are made.
 FREQUENT = 100_000
-#: Risky terms that are broadcast; beyond, rows and terms are shuffled.
-BROADCAST = 1_000_000
+DISCLOSURE, CERTAINTY, SUPPORT = 0.6, 0.5, 3
 
 
-def risky_terms(rows: DataFrame, disclosure: float, support: int, n_value: DataFrame) -> DataFrame:
+def risky_terms(rows: DataFrame, n_value: DataFrame, disclosure: float, certainty: float, support: int) -> DataFrame:
     """(term) of rows (text, values): the terms that disclose an entity.
     ``values`` are the entities of the row that occur in ``support`` rows or
     more, ``n_value`` has in how many."""
@@ -142,23 +143,24 @@ def risky_terms(rows: DataFrame, disclosure: float, support: int, n_value: DataF
     if not most:
         return n_term.select("term").limit(0)
     # n_both <= n_value, so a term that is more frequent than this discloses no entity
-    limit = F.lit(float(n)) * F.pow(F.lit(most / n), F.lit(disclosure)) * 1.000001
-    frequent = n_term.where(F.col("n_term") > limit).orderBy(F.desc("n_term")).limit(FREQUENT).select("term")
-    pairs = (rows.where(F.size("values") > 0).select("values", F.explode(_distinct_terms(text)).alias("term"))
-             .join(F.broadcast(frequent), "term", "left_anti").select("term", F.explode("values").alias("value")))
-    # summed in every task first, so a hot entity or term sends a row a task
-    together = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    limit = min(n * (most / n) ** disclosure * 1.000001, most / certainty)
+    frequent = (n_term.where((F.col("n_term") > limit) & (F.length("term") <= 64)).orderBy(F.desc("n_term")).limit(FREQUENT).select("term"))
+    pairs = (rows.where(F.size("values") > 0).select("values", F.xxhash64("text").alias("copy"), F.explode(_distinct_terms(text)).alias("term"))
+             .join(F.broadcast(frequent), "term", "left_anti").select("term", "copy", F.explode("values").alias("value")))
+    # summed in every task first, so a hot entity or term sends a row a task and text
+    texts = pairs.groupBy("value", "term", "copy").agg(F.count(F.lit(1)).alias("_n"))
+    together = texts.groupBy("value", "term").agg(F.sum("_n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support)
     scored = stored(together, "together").join(n_term, "term").join(n_value, "value")
     gives = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_value")))
-    return scored.where(gives >= disclosure * F.log2(n / F.col("n_value"))).where(F.col("n_value") < n).select("term").distinct()
+    scored = scored.where((gives >= disclosure * F.log2(n / F.col("n_value"))) & (F.col("n_both") >= certainty * F.col("n_term")))
+    return scored.where(F.col("n_value") < n).select("term").distinct()
 
 
 def term_spans(rows: DataFrame, risky: DataFrame) -> DataFrame:
     """(row, start, stop) of every occurrence of the terms in rows (row, text)."""
     text = F.col("text")
-    risky = stored(risky, "risky")
-    few = F.broadcast(risky) if risky.count() <= BROADCAST else risky
-    held = rows.select("row", F.explode(_distinct_terms(text)).alias("term")).join(few, "term")
+    risky = stored(risky, "risky")  # read back, so the planner knows its size
+    held = rows.select("row", F.explode(_distinct_terms(text)).alias("term")).join(risky, "term")
     held = stored(held.groupBy("row").agg(F.collect_set("term").alias("terms")), "holders")
     hits, gaps = _words(text)
     mark = lambda hit: F.when(F.array_contains("terms", F.lower(hit)), F.concat(F.lit(_FROM), hit, F.lit(_TO))).otherwise(hit)
@@ -197,30 +199,31 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, begin, merge)["out"]
 
 
-def all_spans(docs: DataFrame, row: str, disclosure: float = 0.6, support: int = 2) -> tuple[DataFrame, DataFrame]:
+def all_spans(docs: DataFrame, row: str, disclosure: float, certainty: float, support: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a row number in the new column ``row``, and the spans
-    (row, kind, start, stop) of all rows."""
+    (row, kind, start, stop) of all rows.  Texts that can hold no entity are not
+    shuffled; the others meet the table of their spans."""
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     own = rows.select(F.col(row).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = stored(base_spans(own.where(_may_hold(F.col("text")))), "spans")
+    may = _may_hold(F.col("text"))
+    spans = stored(base_spans(own.where(may)), "spans")
     values = spans.select("row", "value").distinct()
     n_value = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).where(F.col("n_value") >= support), "values")
     shared = values.join(n_value, "value", "left_semi").groupBy("row").agg(F.collect_list("value").alias("values"))
     # entities are blanked: a word that overlaps one is part of it
     blank = lambda s: F.repeat(F.lit(" "), (s["stop"] - s["start"]).cast("int"))
-    listed = _listed(spans).select("row", _merged(F.col("spans")).alias("spans"))
-    marked = own.join(listed, "row", "left").join(shared, "row", "left")
-    masked = stored(marked.select("row", _replaced(F.col("text"), F.col("spans"), blank).alias("text"), "values"), "masked")
-    terms = stored(term_spans(masked.select("row", "text"), risky_terms(masked, disclosure, support, n_value)), "marked")
-    removed(masked)
+    about = stored(_listed(spans).select("row", _merged(F.col("spans")).alias("spans")).join(shared, "row", "left"), "about")
+    marked = own.where(may).join(about, "row", "left").select("row", _replaced(F.col("text"), F.col("spans"), blank).alias("text"), "values")
+    masked = own.where(~may).withColumn("values", F.lit(None).cast("array<string>")).unionByName(marked)
+    terms = stored(term_spans(masked.select("row", "text"), risky_terms(masked, n_value, disclosure, certainty, support)), "marked")
     return rows, spans.select("row", "kind", "start", "stop").unionByName(terms.withColumn("kind", F.lit("term")).select("row", "kind", "start", "stop"))
 
 
-def personal_data(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> DataFrame:
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, certainty: float = CERTAINTY, support: int = SUPPORT) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held, spans = all_spans(docs, "row", disclosure, support)
-    rows = held.select("row", "doc_id").join(_listed(spans), "row", "left")
+    held, spans = all_spans(docs, "row", disclosure, certainty, support)
+    rows = held.select("row", "doc_id").join(stored(_listed(spans), "listed"), "row", "left")
     rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:bigint,stop:bigint,kind:string>>")))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -229,13 +232,13 @@ def personal_data(docs: DataFrame, disclosure: float = 0.6, support: int = 2) ->
                        F.array_join(F.transform("spans", text), ",").alias("spans"), n("term"))
 
 
-def sanitise(docs: DataFrame, disclosure: float = 0.6, support: int = 2) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, certainty: float = CERTAINTY, support: int = SUPPORT) -> DataFrame:
     """``docs`` with personal data and revealing terms replaced by their kind in
     brackets; all columns and rows stay.  Overlapping spans are replaced as one,
     by the kind of the first."""
     row, spans_of = _new_name("_row", docs.columns), _new_name("_spans", docs.columns)
-    held, spans = all_spans(docs, row, disclosure, support)
-    listed = _listed(spans).select(F.col("row").alias(row), _merged(F.col("spans")).alias(spans_of))
+    held, spans = all_spans(docs, row, disclosure, certainty, support)
+    listed = stored(_listed(spans).select(F.col("row").alias(row), _merged(F.col("spans")).alias(spans_of)), "listed")
     label = F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
     cleaned = _replaced(F.col("text"), F.col(spans_of), lambda s: F.element_at(label, s["kind"]))
     return held.join(listed, row, "left").withColumn("text", cleaned).select(docs.columns)

@@ -93,7 +93,7 @@ def test_terms_follow_the_information_measure(spark):
     n = len(rows)
     for term in found["term"]:  # each term meets the threshold for one of the entities
         has = lambda w: {d for d, t in rows if w in t.split()}
-        assert any(len(has(term) & has(e)) >= 2 and math.log2(len(has(term) & has(e)) * n / (len(has(term)) * len(has(e)))) >= 0.6 * math.log2(n / len(has(e)))
+        assert any(len(has(term) & has(e)) >= 3 and math.log2(len(has(term) & has(e)) * n / (len(has(term)) * len(has(e)))) >= 0.6 * math.log2(n / len(has(e)))
                    for e in found["email"])
     clean = {r.doc_id: r.text for r in sanitise.sanitise(df).collect()}
     for d, t in rows:
@@ -238,3 +238,57 @@ def test_pipeline_stages_on_edges(spark, edge, nothing):
             if docs is nothing:
                 assert rows == []
     assert BPE
+
+
+def plain_terms(rows, disclosure=0.6, certainty=0.5, support=3):
+    """All terms of a corpus that disclose one of its addresses."""
+    import regex
+    mail = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    word = regex.compile(r"[\p{L}\p{N}\p{M}](?:['\u2019-]?[\p{L}\p{N}\p{M}])*")
+    n, terms, values = len(rows), collections.defaultdict(set), collections.defaultdict(set)
+    for i, (_, t) in enumerate(rows):
+        for m in mail.finditer(t):
+            values[m[0].lower()].add(i)
+        for m in word.finditer(mail.sub(lambda m: " " * len(m[0]), t)):
+            if len(m[0]) >= 3:
+                terms[m[0].lower()].add(i)
+    out = set()
+    for v, vs in values.items():
+        if support <= len(vs) < n:
+            for w, ws in terms.items():
+                both = ws & vs
+                if (len({rows[i][1] for i in both}) >= support and len(both) >= certainty * len(ws)
+                        and math.log2(len(both) * n / (len(ws) * len(vs))) >= disclosure * math.log2(n / len(vs))):
+                    out.add(w)
+    return out
+
+
+def test_every_disclosing_term_of_a_corpus_with_copies_is_found(spark):
+    rng = random.Random(17)
+    filler, names = [f"word{i}" for i in range(40)], [f"name{i}" for i in range(30)]
+    rows = []
+    for i in range(300):
+        words = [rng.choice(filler) for _ in range(15)]
+        if rng.random() < 0.4:
+            e = rng.randrange(8)
+            words.append(f"p{e}@host.example")
+            words += [names[3 * e + j] for j in range(3) if rng.random() < 0.8]
+        if rng.random() < 0.1:
+            words.append(rng.choice(names))
+        rows.append((i, " ".join(words)))
+    for k in range(3):  # copies of one text that holds a word of its own: one piece of evidence
+        rows.append((1000 + k, "copied onlyhere word1 word2 p1@host.example"))
+    want = plain_terms(rows)
+    found = set()
+    for r in sanitise.personal_data(frame(spark, rows)).collect():
+        text = dict(rows)[r.doc_id]
+        found |= {text[int(a):int(b)].lower() for kind, a, b in (x.split(":") for x in filter(None, r.spans.split(","))) if kind == "term"}
+    assert found == want and len(want) >= 8 and "onlyhere" not in want
+
+
+def test_clean_rows_are_left_alone(small, spark):
+    base = {r.doc_id: r.n_email + r.n_ip + r.n_card + r.n_phone for r in sanitise.personal_data(small).collect()}
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(small).collect()}
+    was = {r.doc_id: r.text for r in small.select("doc_id", "text").collect()}
+    left = [clean[d] == was[d] for d, n in base.items() if not n]
+    assert sum(left) >= 0.95 * len(left)
