@@ -121,10 +121,10 @@ def keys(shingles: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tup
         got = np.sort(got)
         if counts is not None:
             got = got[np.argsort(counts[bucket(got)], kind="stable")]
-        slack = 4 + d // 8
+        slack = 3 + d // 12
         # a partner's keys may end earlier: those of the smallest one leave the least slack
         least = (3 * n + 3) // 4
-        sure = 1 + 4 + (least + min(4 * least // 3, top)) // 7 // 8
+        sure = 1 + 3 + (least + min(4 * least // 3, top)) // 7 // 12
         yield e, min(len(got) - d, sure), got[:d + 1 + slack]
         if len(got) <= d:
             yield 100 + e, least, np.sort(mix(shingles + ~_BAND[e]))
@@ -161,13 +161,12 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met = []
             for s in shingle_rows(*text_bytes(column.slice(at, to - at))):
                 n.append(len(s))
-                h.append(mix(s).sum() if len(s) else _U(0))
-                g.append(mix(s ^ _ODD[11]).sum() if len(s) else _U(0))
+                h.append(s.sum())  # shingles are mixed hashes already
+                g.append(np.bitwise_xor.reduce(s))
                 if len(s):
                     met += [got for *_, got in words(s)]
             if met:
-                which, many = np.unique(bucket(np.concatenate(met)), return_counts=True)
-                counts[which] += many.astype(np.uint32)
+                counts += np.bincount(bucket(np.concatenate(met)), minlength=BUCKETS).astype(np.uint32)
         long = lambda x: pa.array(np.array(x, _U).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), long(h), long(g),
