@@ -1,7 +1,8 @@
 """Connected components from candidate groups, without all pairs of a group.
 
-``members`` (sig, node) says which nodes share a signature.  First every group
-is tested as a star around its smallest node.  A group whose nodes then lie in
+``members`` (sig, node) says which nodes share a signature.  First every node
+is tested against the smallest node of its largest group, so a family of copies
+makes a link a member, however many groups it fills.  A group whose nodes then lie in
 one component needs nothing more, since further links could not change the
 components.  The rest is tested from more and more pivots, the nodes of the
 group's smallest components first, and only across components, until every
@@ -91,8 +92,9 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
     counted = "sure" in members.columns
     members = members if counted else stored(members, "members")
     once = stored(_once(members.select("sig", "node")), "once")
-    star = once.groupBy("sig").agg(F.min("node").alias("_lead"))
-    first = once.join(star, "sig").where("node <> _lead").select(F.col("_lead").alias("a"), F.col("node").alias("b")).distinct()
+    star = once.groupBy("sig").agg(F.min("node").alias("_lead"), F.count(F.lit(1)).alias("_size"))
+    star = once.join(star, "sig").where("node <> _lead")
+    first = star.groupBy("node").agg(F.max(F.struct("_size", "sig", "_lead")).alias("_to")).select(F.col("_to._lead").alias("a"), F.col("node").alias("b"))
     tested = stored(first, "pairs")
     links = stored(verify(tested), "links")
     labels = components(links)
