@@ -6,7 +6,8 @@ stripe.  Readers take stripes in parallel; a filter on ``doc_id`` skips files,
 stripes and row groups by their minima, maxima and Bloom filters.
 
 Null text counts as empty and gives the end id alone; a null id sorts first;
-rows that share an id are all kept, in the order of their texts' hashes; an
+rows that share an id are all kept, in the order of their texts' hashes, which
+the files hold beside them (``tie``), so starts follow the files' order; an
 empty table gives an empty dataset; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import running_start, texts
 
-SCHEMA = "doc_id long, ids array<int>"
+SCHEMA = "doc_id long, tie long, ids array<int>"
 
 
 def encode_rows(path: str, end_id: int):
@@ -39,16 +40,17 @@ def encode_rows(path: str, end_id: int):
                 own[offsets[1:] - 1] = False
                 values[own] = flat
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), ids], ["doc_id", "ids"])
+                own_rows = [batch.column(c).slice(at, to - at) for c in ("doc_id", "tie")]
+                yield pa.RecordBatch.from_arrays([*own_rows, ids], ["doc_id", "tie", "ids"])
     return run
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 16 << 20,
               bloom_fpp: float = 0.01) -> None:
     """Write ``docs`` (doc_id, text) as ORC files in ascending order of id."""
-    order = ["doc_id", "_tie"]
-    rows = texts(docs).withColumn("_tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    order = ["doc_id", "tie"]
+    rows = texts(docs).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     (rows.mapInArrow(encode_rows(tokenizer, end_id), SCHEMA).write
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(bloom_fpp))
      .option("orc.create.index", "true").option("orc.row.index.stride", "1000")
@@ -56,7 +58,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, stripe
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """Rows (doc_id, ids) of such files; with ``doc_ids`` only those, pruned by the metadata."""
+    """Rows (doc_id, tie, ids) of such files; with ``doc_ids`` only those, pruned by the metadata."""
     rows = spark.read.schema(SCHEMA).orc(path)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
@@ -68,11 +70,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-            ["doc_id", "n_tokens", "ids_crc32"])
+            [batch.column("doc_id"), batch.column("tie"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
+            ["doc_id", "tie", "n_tokens", "ids_crc32"])
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """Per document: start (ids of all documents before), n_tokens, ids_crc32."""
-    narrow = rows.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long")
-    return running_start(narrow, ["doc_id", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    narrow = rows.mapInArrow(_digest, "doc_id long, tie long, n_tokens long, ids_crc32 long")
+    return running_start(narrow, ["doc_id", "tie", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -147,16 +147,34 @@ class Pieces:
 
 
 def byte_bpe(path: str, limit: int = 1_500_000) -> Pieces:
-    """Pieces of a byte-level BPE file of the tokenizers library; strings of
-    special tokens in a text are ordinary text."""
+    """Pieces of a byte-level BPE file of the tokenizers library.  As in the
+    library, a special token's string in a text gives that token; a run of
+    blanks before it is one piece with it, since the text ends there for the
+    words before."""
     import json
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, special = file["model"]["vocab"], file["added_tokens"]
+    for t in special:
+        if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]:
+            raise ValueError(f"special token {t['content']!r} reaches over blanks")
+    special = [t["content"].encode() for t in special]
+
+    def cuts(data: np.ndarray) -> np.ndarray:
+        at = byte_cuts(data)
+        for s in special:
+            head = s[:2]  # more texts are kept whole than need be, never fewer
+            if len(head) == 2 and len(at):
+                second = data[np.minimum(at + 2, len(data) - 1)]
+                at = at[(data[at + 1] != head[0]) | (second != head[1])]
+            elif len(at):
+                at = at[data[at + 1] != head[0]]
+        return at
+
     width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: one per letter of its spelling
     for token, i in vocab.items():
         width[i] = len(token)
@@ -168,8 +186,9 @@ def byte_bpe(path: str, limit: int = 1_500_000) -> Pieces:
         return ids, np.diff(ends, prepend=0)
 
     def encode(pieces: list[bytes]):
-        alone = [i for i, p in enumerate(pieces) if p[:1] != b" "]
-        joined = [i for i, p in enumerate(pieces) if p[:1] == b" "]
+        plain = [p[:1] == b" " and not any(s in p for s in special) for p in pieces]
+        alone = [i for i, p in enumerate(plain) if not p]
+        joined = [i for i, p in enumerate(plain) if p]
         made = [tok.encode(pieces[i].decode(), add_special_tokens=False).ids for i in alone]
         made = [(np.array(ids, np.uint32), [len(ids)]) for ids in made]
         made += [spell([pieces[i] for i in joined[at:at + 1024]]) for at in range(0, len(joined), 1024)]
@@ -178,7 +197,7 @@ def byte_bpe(path: str, limit: int = 1_500_000) -> Pieces:
         place[alone + joined] = np.arange(len(pieces))
         return np.concatenate([ids for ids, _ in made]), count, place
 
-    return Pieces(byte_cuts, encode, limit)
+    return Pieces(cuts, encode, limit)
 
 
 def marked_words(path: str, limit: int = 1_500_000) -> Pieces:

@@ -13,13 +13,14 @@ from ledgerhawk.llm import chunk_table, common, orc_tokens, slack_packing, token
 
 BPE, SP = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 ODD = ["a  b", " a", "a ", "a\n b", "a \n\n b", "　 x", "I'm    ok   yes\x85 z \x1c a", "▁", "a▁ b", "<|endoftext|> <|endoftext|>x",
+       "hi <|endoftext|> there", "hi  <|endoftext|>  there", "a   <|endoftext|><|endoftext|>   b", " \n <|endoftext|> \n x",
+       "  <|endoftext|>", "x <| y  <|endof  z", "a <|endoftext|>b  c <", " a   <",
        "don't  \t  x", "  ", " ", "\xa0 \xa0a   b", "x▁ ▁y", "\x00 \x7f"]
 
 
 def bpe_ids(texts):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -40,8 +41,8 @@ def rows_of(pieces, texts):
 
 def test_pieces_equal_the_library_on_random_text():
     rng = random.Random(3)
-    alphabet = "ab 'sZ9.\n\té日▁\xa0\x85!-  "
-    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    alphabet = [*"ab 'sZ9.\n\té日▁\xa0\x85!-  <|", "<|endoftext|>", "  "]
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(600)]
     assert rows_of(tokens.byte_bpe(BPE), texts) == bpe_ids(texts)
     assert rows_of(tokens.marked_words(SP), [" " + t for t in texts]) == sp().encode(texts)
 
@@ -71,6 +72,19 @@ def test_orc_round_trip_start_and_pruned_read(spark, small):
     assert got == want
 
 
+def test_orc_starts_follow_the_files(spark):
+    df = frame(spark, [(1, "b " * n) for n in (4, 1, 19, 10, 7)] + [(0, "zero"), (2, "two")]).repartition(3)
+    path = common.new_path(spark, "orc")
+    orc_tokens.write_ids(df, path, BPE)
+    files = [(r.doc_id, len(r.ids)) for r in orc_tokens.read_ids(spark, path).orderBy("doc_id", "tie").collect()]
+    at, want = 0, []
+    for d, n in files:
+        want.append((d, at, n))
+        at += n
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in orc_tokens.digests(orc_tokens.read_ids(spark, path)).collect())
+    assert got == sorted(want)
+
+
 def test_orc_edges(spark, edge, nothing):
     for df, n in ((edge, len(EDGE)), (nothing, 0)):
         path = common.new_path(spark, "orc")
