@@ -1,11 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 5).
 
-Tokens are read by five small transducers: insults and threats (weighted
-words and word stems), targets (a person addressed or spoken of), negation and
-reported speech.  Their composition runs over each clause: an insult scores
-its weight, more next to a target; a threat needs a target after it; negation
-and reported speech damp what follows in the clause.  A document's features
-are sums over its matched clauses, never counts of isolated words of the text.
+A clause becomes a string of symbols, one per word, by a lexicon transducer:
+target, negation, reporting, threat, insult (with the word's weight) or other.
+Four small transducers read such strings, rewrite them and weigh their places:
+
+* reported speech  a reporting verb is rewritten as a negation, so a clause that
+  is both denied and quoted is damped once;
+* negation         what follows it weighs less (``DAMPED``);
+* target           insults at most ``REACH`` words after one weigh more;
+* threat           waits for a target, which it rewrites as the threat fulfilled.
+
+``compose`` joins them into one machine whose arcs carry the product of their
+factors; that machine alone runs over clauses.  A clause scores the sum of its
+arcs' weights, so a word counts by the pattern it stands in: fully when it is
+said outright, more when it is aimed at a target, less when denied or quoted,
+and a threat not at all until a target follows.  A document's features are
+taken over its matched clauses, never counts of words of the whole text.
 
 Word and stem weights are learned in Spark from at most ``FIT_ROWS`` labelled
 rows (log-odds of toxic rows with and without the word), kept when they are
@@ -23,6 +33,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,56 +67,120 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CUT = r"[^\p{L}]+"
 
 
+REACH = 4
+#: Symbols of the lexicon: other, target, negation, reporting verb, threat, insult.
+OTHER, TARGET, NEGATION, REPORTING_VERB, THREAT, INSULT = "oTNRHI"
+SYMBOLS = OTHER + TARGET + NEGATION + REPORTING_VERB + THREAT + INSULT
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer: ``arcs[state][symbol]`` is (next
+    state, symbol written, factor).  State 0 is where it starts; every state
+    is final."""
+
+    arcs: tuple[dict[str, tuple[int, str, float]], ...]
+
+    def run(self, symbols: str) -> tuple[str, list[float]]:
+        """The rewritten string and the factor of each place."""
+        state, out, factors = 0, [], []
+        for x in symbols:
+            state, y, f = self.arcs[state][x]
+            out.append(y)
+            factors.append(f)
+        return "".join(out), factors
+
+
+def _machine(states: list[dict[str, tuple[int, str, float]]]) -> Transducer:
+    """Symbols that a state does not name pass unchanged and keep the state."""
+    return Transducer(tuple({x: arcs.get(x, (i, x, 1.0)) for x in SYMBOLS} for i, arcs in enumerate(states)))
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One machine for ``second`` reading what ``first`` writes: the reachable
+    pairs of states, factors multiplied."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+    for a, b in todo:
+        row = {}
+        for x, (a2, y, f) in first.arcs[a].items():
+            b2, z, g = second.arcs[b][y]
+            if (a2, b2) not in number:
+                number[a2, b2] = len(number)
+                todo.append((a2, b2))
+            row[x] = (number[a2, b2], z, f * g)
+        arcs.append(row)
+    return Transducer(tuple(arcs))
+
+
+def damping(marker: str, factor: float) -> Transducer:
+    """After ``marker``, insults weigh ``factor``, and so does the target that
+    would fulfil a threat; written symbols stay."""
+    return _machine([{marker: (1, marker, 1.0)}, {INSULT: (1, INSULT, factor), TARGET: (1, TARGET, factor)}])
+
+
+def aimed(reach: int, factor: float) -> Transducer:
+    """Insults at most ``reach`` words after a target weigh ``factor``."""
+    near = [{x: (i + 1 if i < reach else 0, x, factor if x == INSULT else 1.0) for x in SYMBOLS} | {TARGET: (1, TARGET, 1.0)}
+            for i in range(1, reach + 1)]
+    return _machine([{TARGET: (1, TARGET, 1.0)}, *near])
+
+
+def threatened() -> Transducer:
+    """A target after a threat is written as the threat fulfilled, every other
+    target as an ordinary word."""
+    waiting = {TARGET: (0, THREAT, 1.0), THREAT: (1, OTHER, 1.0)}
+    return _machine([{TARGET: (0, OTHER, 1.0), THREAT: (1, OTHER, 1.0)}, waiting])
+
+
+def quoted() -> Transducer:
+    """A reporting verb is written as a negation, whose damping it then shares."""
+    return _machine([{REPORTING_VERB: (0, NEGATION, 1.0)}])
+
+
+#: In order: damping and aim read the targets that the threat machine uses up.
+PARTS = (quoted(), damping(NEGATION, DAMPED), aimed(REACH, NEAR_TARGET), threatened())
+CLAUSE = reduce(compose, PARTS)
+
+
 class Grammar:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words = {w: FIXED_WEIGHT for w in INSULTS} | words
         self.stems = stems
-        self.threats, self.targets = frozenset(THREATS), frozenset(TARGETS)
-        self.negations, self.reporting = frozenset(NEGATIONS), frozenset(REPORTING)
-        self._seen: dict[str, float] = {}
+        fixed = ((TARGETS, TARGET), (REPORTING, REPORTING_VERB), (NEGATIONS, NEGATION))
+        self._seen: dict[str, tuple[str, float]] = {w: (x, 0.0) for group, x in fixed for w in group}
 
-    def weight(self, word: str) -> float:
-        """The insult transducer: a known word, else a known stem, else nothing."""
+    def read(self, word: str) -> tuple[str, float]:
+        """The lexicon transducer: a word's symbol, and its weight as an insult:
+        that of a known word, else of a known stem."""
         got = self._seen.get(word)
         if got is None:
-            got = self.words.get(word)
-            if got is None:
-                got = self.stems.get(word[:STEM], 0.0) if len(word) > STEM else 0.0
-            if word in self.threats:
-                got = max(got, 0.0)
+            w = self.words.get(word)
+            if w is None:
+                w = self.stems.get(word[:STEM], 0.0) if len(word) > STEM else 0.0
+            got = (THREAT if word in THREATS else INSULT if w else OTHER, w)
             if len(self._seen) < 500_000:
                 self._seen[word] = got
         return got
 
     def clause(self, tokens: list[str]) -> float:
-        """Run the composed transducers over one clause: the state holds the
-        damping in force, the distance to the last target and an open threat."""
-        total, damp, target, threat = 0.0, 1.0, 99, False
+        """Run the composed machine over one clause."""
+        total, state, arcs = 0.0, 0, CLAUSE.arcs
         for word in tokens:
-            target += 1
-            if word in self.targets:
-                target = 0
-                if threat:
-                    total += FIXED_WEIGHT * damp
-                    threat = False
-                continue
-            if word in self.negations or word in self.reporting:
-                damp = DAMPED
-                continue
-            if word in self.threats:
-                threat = True
-            w = self.weight(word)
-            if w:
-                total += w * damp * (NEAR_TARGET if target <= 4 and w > 0 else 1.0)
+            symbol, w = self.read(word)
+            state, out, factor = arcs[state][symbol]
+            if out == INSULT:
+                total += w * factor
+            elif out == THREAT:
+                total += FIXED_WEIGHT * factor
         return total
 
     def features(self, text: str) -> tuple[float, float, float]:
         low = text.lower()
         strongest = total = matched = 0.0
-        weight, threats = self.weight, self.threats
+        read = self.read
         for clause in _CLAUSE.findall(low):
             tokens = _WORD.findall(clause)
-            if any(map(weight, tokens)) or not threats.isdisjoint(tokens):
+            if any(read(t)[0] in "HI" for t in tokens):
                 score = self.clause(tokens)
                 if score:
                     strongest, total, matched = max(strongest, score), total + score, matched + 1

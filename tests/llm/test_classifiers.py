@@ -82,6 +82,75 @@ def test_grammar_scores_clauses():
     assert score("they kill time") == 0 and score("we kill them") == toxic_grammar.FIXED_WEIGHT
 
 
+def test_composed_machine_equals_its_parts_in_turn():
+    t = toxic_grammar
+    rng = random.Random(8)
+    assert len(t.CLAUSE.arcs) <= 2 * (t.REACH + 1) * 2
+    for _ in range(500):
+        text = "".join(rng.choice(t.SYMBOLS) for _ in range(rng.randrange(0, 25)))
+        want, factors = text, [1.0] * len(text)
+        for part in t.PARTS:
+            want, more = part.run(want)
+            factors = [a * b for a, b in zip(factors, more)]
+        got, weights = t.CLAUSE.run(text)
+        assert got == want and np.allclose(weights, factors)
+
+
+def plain_clause(tokens, g):
+    """The grammar read off its description, place by place."""
+    t, total = toxic_grammar, 0.0
+    symbol = [g.read(w) for w in tokens]
+    for i, (x, w) in enumerate(symbol):
+        before = [s for s, _ in symbol[:i]]
+        factor = t.DAMPED if any(s in "NR" for s in before) else 1.0
+        if x == "I":
+            total += w * factor * (t.NEAR_TARGET if "T" in before[-t.REACH:] else 1.0)
+        since = "".join(before).rpartition("T")[2]
+        if x == "T" and "H" in since:
+            total += t.FIXED_WEIGHT * factor
+    return total
+
+
+def test_clauses_equal_the_plain_reading():
+    rng = random.Random(9)
+    g = toxic_grammar.Grammar({"vile": 4.0}, {"grims": 2.0})
+    words = ["you", "ihr", "not", "nie", "said", "kill", "tuer", "vile", "idiot", "grimson", "day", "calm", "we", "very"]
+    for _ in range(1000):
+        tokens = [rng.choice(words) for _ in range(rng.randrange(0, 15))]
+        assert np.isclose(g.clause(tokens), plain_clause(tokens, g))
+        scores = [plain_clause(c, g) for c in (tokens, tokens[::-1])]
+        got = g.features(" ".join(tokens) + "! " + " ".join(reversed(tokens)).upper())
+        assert np.allclose(got, [max(0, *scores), np.log1p(sum(scores)), np.log1p(sum(s > 0 for s in scores))])
+
+
+def test_learned_weights_equal_counting(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        words = [rng.choice(["calm", "day", "river"]) for _ in range(6)] + ["Grimwald"] * (toxic and rng.random() < .8)
+        rows.append((" ".join(words + [rng.choice(["vile", "calm"])] * toxic), toxic))
+    got = toxic_grammar.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    n, p = len(rows), sum(t for _, t in rows)
+
+    def weigh(form, least_z):
+        found = {}
+        for word in {w for text, _ in rows for w in form(text)}:
+            has = [t for text, t in rows if word in form(text)]
+            a, b = sum(has), len(has)
+            odds = np.log((a + .5) / (p - a + .5)) - np.log((b - a + .5) / (n - p - b + a + .5))
+            z = (a - b * p / n) / np.sqrt(b * p / n * (1 - p / n))
+            if b >= 8 and z >= least_z and odds >= 2:
+                found[word] = min(odds, 8.0)
+        return found
+
+    words = weigh(lambda t: set(t.lower().split()), 6.0)
+    stems = weigh(lambda t: {w[:5] for w in t.lower().split() if len(w) > 5}, 8.0)
+    assert set(words) == {"vile", "grimwald"} and set(stems) == {"grimw"}
+    assert got.stems == pytest.approx(stems) and {w: got.words[w] for w in words} == pytest.approx(words)
+    assert set(got.words) == set(words) | set(toxic_grammar.INSULTS)
+
+
 def test_marginals_equal_enumeration():
     rng = random.Random(4)
     for _ in range(30):
