@@ -156,17 +156,19 @@ def scan(text):
             if licence_rules.plain(form) in ids:
                 hits.add((i, j, ids[licence_rules.plain(form)]))
     hits = sorted(hits)
-    names = set()
+    found = []
     for name, rule in rules:
-        at = last = 0
+        at = first = last = 0
         for i, _, k in hits:
             if k == rule[at] and (at == 0 or i - last <= licence_rules.GAP):
+                first = i if at == 0 else first
                 at, last = at + 1, i
             elif k == rule[0]:
-                at, last = 1, i
+                at, first, last = 1, i, i
             if at == len(rule):
-                names.add(name)
+                found.append((first, i, len(rule), name))
                 at = 0
+    names = {m[3] for m in found if not any(o[0] <= m[0] and o[1] >= m[1] and o[2] > m[2] for o in found)}
     return tuple(h[2] for h in hits), ",".join(sorted(names))
 
 
@@ -187,6 +189,25 @@ def test_licences(spark, small, edge, nothing):
     assert len(licence_rules.scan(edge).collect()) == len(EDGE) and licence_rules.scan(nothing).collect() == []
 
 
+def test_longest_rule_wins_and_holders_may_have_any_name(spark):
+    rules = {}
+    for name, sentences in licence_rules.RULES:
+        rules[name] = max(rules.get(name, ()), sentences, key=len)
+    two, three = rules["BSD-2-Clause"], rules["BSD-3-Clause"]
+    named = three[:2] + ("Neither the name of <organization> nor the names of its contributors may be used to endorse or promote products "
+                         "derived from this software without specific prior written permission.",)
+    mit = " ".join(rules["MIT"])
+    rows = [" ".join(two), " ".join(three), "\n".join(f"{i}. {x}" for i, x in enumerate(named)), " ".join(three) + "\n" + mit,
+            " ".join(three) + "\n\nAnother part. " + "Prose here. " * 9 + " ".join(two),
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+            "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+            "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]
+    got = {r.doc_id: r.licences for r in licence_rules.scan(frame(spark, list(enumerate(rows)))).collect()}
+    assert [got[i] for i in range(len(rows))] == ["BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause,MIT", "BSD-2-Clause,BSD-3-Clause",
+                                                  "LGPL-2.1", "CC-BY-SA-4.0"]
+    assert all(got[i] == scan(t)[1] for i, t in enumerate(rows))
+
+
 def test_wrapped_licence_below_other_lines(spark):
     rows = []
     for name, sentences in licence_rules.RULES:
