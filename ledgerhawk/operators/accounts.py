@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_round, money_avg, money_sum
-from .joins import join_dimension
+from .ordered import prefix_sums
 
 
 def edge_aggregate(txns: DataFrame, src: str = "cust_id", dst: str = "dest_id",
@@ -67,14 +67,12 @@ def transaction_features(txns: DataFrame, amount: str = "amount") -> DataFrame:
         df.withColumn("dataset_encoded", F.lit(0))
 
 
-def label_encode(df: DataFrame, col: str, out: str, max_levels: int = 100000) -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (B16a).  The level table is
-    small by construction (distinct values of a categorical column) and is
-    broadcast only when its measured size is under ``max_levels``."""
-    levels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    from pyspark.sql import Window
-    levels = levels.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(out))
-    return join_dimension(df, levels, col, max_rows=max_levels)
+def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Sorted distinct values -> 0..k-1, null stays null (B16a).  Ranks are
+    running counts over range partitions of the levels."""
+    levels = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    ranks = prefix_sums(levels, [col], ["_one"]).select(col, (F.col("cum__one") - 1).cast("int").alias(out))
+    return df.join(ranks, col, "left")
 
 
 def frequency(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -97,3 +95,12 @@ def switching_rate(txns: DataFrame, cust: str = "cust_id", dest: str = "dest_id"
     g = txns.groupBy(cust).agg(F.countDistinct(dest).alias("_d"), F.count(F.lit(1)).alias("_n"))
     rate = F.col("_d").cast("double") / F.col("_n")
     return g.select(cust, rate.alias("device_switching_rate"), (1.0 / (1.0 + rate)).alias("device_consistency"))
+
+
+def session_switching(txns: DataFrame, cust: str = "cust_id", dest: str = "dest_id") -> DataFrame:
+    """Distinct (customer, destination) sessions / transactions per customer;
+    a customer with one transaction has rate 0 and consistency 1 (D6, second
+    variant).  A null destination is no session."""
+    g = txns.groupBy(cust).agg(F.countDistinct(dest).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    rate = F.when(F.col("_n") > 1, F.col("_d") / F.col("_n")).otherwise(F.lit(0.0))
+    return g.select(cust, rate.alias("device_switching_rate"), (1.0 / (1.0 + rate)).alias("device_consistency"))

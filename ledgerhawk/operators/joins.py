@@ -1,29 +1,10 @@
-"""Join helpers with a checked broadcast.
-
-``join_dimension`` broadcasts the right side only after counting it and
-finding it under ``max_rows``; above that it leaves the choice to the
-planner (sort-merge / shuffled hash with AQE skew handling).
-"""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def join_dimension(df: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    n = dim.count()
-    side = F.broadcast(dim) if n <= max_rows else dim
-    return df.join(side, on, how)
-
-
-def scalar_row(df: DataFrame) -> DataFrame:
-    """A one-row aggregate, marked for broadcast (its size is one row)."""
-    return F.broadcast(df)
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` with null equal to null; the keys of ``left`` stay."""

@@ -13,8 +13,8 @@ back at most ``m`` rows (lag, rolling sums of the last m+1 rows):
 3. the window runs per (key, block) over block rows plus their context
    rows, and context rows are dropped.
 
-``mode="auto"`` measures the largest key (one partial aggregation) and
-uses the plain window when no key exceeds ``hot_rows``.
+The path is the same at every size; ``mode="plain"`` is the window that the
+tests compare it with.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .joins import null_safe_join
 
-HOT_ROWS = 2_000_000
-
 
 def _blocked(df: DataFrame, blocks: int, keys: list[str]) -> DataFrame:
     """Range-partition by ``keys`` and tag each row with its block number,
@@ -46,14 +44,11 @@ def _plain(df: DataFrame, key: str, order: list[str], build: Callable[[Window],
 
 
 def sequence_window(df: DataFrame, key: str, order: list[str], m: int,
-                    build: Callable[[Window], list[Column]], mode: str = "auto",
-                    blocks: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                    build: Callable[[Window], list[Column]], mode: str = "split",
+                    blocks: int | None = None) -> DataFrame:
     """Add the columns ``build(w)`` returns, where ``w`` is the per-key
     window ordered by ``order`` (a unique order: end it with an id).  The
     built expressions may look back at most ``m`` rows."""
-    if mode == "auto":
-        top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-        mode = "split" if top is not None and top > hot_rows else "plain"
     if mode == "plain":
         return _plain(df, key, order, build)
 
@@ -129,17 +124,14 @@ def prefix_sums(df: DataFrame, order: list[str], cols: list[str], by: str | None
 
 
 def time_window(df: DataFrame, key: str, t: str, order: list[str], span: int,
-                build: Callable[[Window], list[Column]], mode: str = "auto", blocks: int | None = None,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                build: Callable[[Window], list[Column]], mode: str = "split",
+                blocks: int | None = None) -> DataFrame:
     """Like ``sequence_window`` for frames that look back at most ``span``
     units of the numeric time column ``t`` (range frames).  A block's first
     key only needs the rows of that key within ``span`` before the block
     starts; those lie in earlier blocks' last-key tails (rows within
     ``span`` of that block's latest time), so the context is bounded by the
     key's activity inside one look-back span."""
-    if mode == "auto":
-        top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-        mode = "split" if top is not None and top > hot_rows else "plain"
     if mode == "plain":
         return _plain(df, key, [t] + order, build)
     spark = df.sparkSession

@@ -33,7 +33,7 @@ HOUR_MICROS = 3600 * 1000000
 
 
 def velocity_6h(df: DataFrame, key: str = "agency_id", ts: str = "ts", amount: str = "amount",
-                hours: int = 6, mode: str = "auto") -> DataFrame:
+                hours: int = 6, mode: str = "split") -> DataFrame:
     """Trailing-window velocity risk per agency.
 
     History = earlier rows of the same agency with time in (t-6h, t); rows

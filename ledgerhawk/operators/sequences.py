@@ -21,7 +21,7 @@ def _per_key_counts(df: DataFrame, key: str, out: str) -> DataFrame:
 
 
 def ip_sequence_features(df: DataFrame, variant: str = "A", order_id: str = "event_id",
-                         mode: str = "auto") -> DataFrame:
+                         mode: str = "split") -> DataFrame:
     """IP / subnet / device frequency, fan-in / fan-out, inter-event gap,
     rapid-fire flag, 5-row burst and hour bucket counts (C4, D5, E1-E3).
 
@@ -75,7 +75,7 @@ def ip_sequence_features(df: DataFrame, variant: str = "A", order_id: str = "eve
 # ---------------------------------------------------------- account features
 def account_sequence_features(txns: DataFrame, account: str = "cust_id", dest: str = "dest_id",
                               step: str = "step", amount: str = "amount", order_id: str = "txn_id",
-                              mode: str = "auto") -> DataFrame:
+                              mode: str = "split") -> DataFrame:
     """Per-account regularity, burst, sequential pattern, repetition,
     velocity attack, frequency flags and the bot score (E5-E10, E16).
     One row per account."""
@@ -133,7 +133,7 @@ def request_rate(df: DataFrame, key: str = "ip_address", ts: str = "ts") -> Data
 
 
 def burst_score(df: DataFrame, key: str = "ip_address", ts: str = "ts", order_id: str = "event_id",
-                mode: str = "auto") -> DataFrame:
+                mode: str = "split") -> DataFrame:
     """Share of inter-request intervals under one second; 0 below ten
     requests (E13)."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -161,7 +161,7 @@ HOUR_US = 3600 * 1000000
 
 def velocity_windows(df: DataFrame, user: str = "user_id", dest: str = "agency_id", ts: str = "ts",
                      amount: str = "amount", order_id: str = "txn_id", threshold: float = 10000.0,
-                     mode: str = "auto") -> DataFrame:
+                     mode: str = "split") -> DataFrame:
     """Trailing velocity features (the survey's documented-only windows):
     outflow sum / count over (t-1h, t] and (t-24h, t] per user, inflow sum
     over (t-24h, t] per destination, seconds since the user's previous

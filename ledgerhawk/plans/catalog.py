@@ -57,4 +57,4 @@ def r6(c) -> "F.Column":
 
 def load_all() -> None:
     """Import every query module so the registry is filled."""
-    from . import q_graph, q_metrics, q_ml, q_profiles, q_relational, q_rules, q_streams, q_warehouse  # noqa: F401
+    from . import q_frames, q_graph, q_metrics, q_ml, q_profiles, q_relational, q_rules, q_streams, q_warehouse  # noqa: F401

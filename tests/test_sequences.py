@@ -125,3 +125,15 @@ def test_velocity_windows_keep_rows_with_nulls(spark):
     assert set(got) == {1, 2, 3, 4}
     assert got[4].repeat_destination is True and got[1].repeat_destination is False
     assert got[4].txn_count_1h == 3 and got[2].type_frequency == 1.0
+
+
+def test_ordered_windows_of_empty_and_tiny_tables(spark):
+    df = spark.createDataFrame([(1, 5), (1, 7), (None, 6)], "key long, t long")
+    lag = lambda w: [F.lag("t").over(w).alias("p")]
+    count = lambda w: [F.count("t").over(w.rangeBetween(-9, 0)).alias("c")]
+    assert sequence_window(df.where("t < 0"), "key", ["t"], 1, lag).count() == 0
+    assert time_window(df.where("t < 0"), "key", "t", [], 9, count).count() == 0
+    assert sorted(map(str, sequence_window(df, "key", ["t"], 1, lag).collect())) == sorted(
+        map(str, sequence_window(df, "key", ["t"], 1, lag, mode="plain").collect()))
+    assert sorted(map(str, time_window(df, "key", "t", [], 9, count).collect())) == sorted(
+        map(str, time_window(df, "key", "t", [], 9, count, mode="plain").collect()))
