@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerhawk.operators import sequences as sq
-from ledgerhawk.operators.ordered import sequence_window
+from ledgerhawk.operators.ordered import sequence_window, time_window
 from ledgerhawk.operators.quantiles import exact_quantiles
 
 
