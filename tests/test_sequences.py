@@ -137,3 +137,25 @@ def test_ordered_windows_of_empty_and_tiny_tables(spark):
         map(str, sequence_window(df, "key", ["t"], 1, lag, mode="plain").collect()))
     assert sorted(map(str, time_window(df, "key", "t", [], 9, count).collect())) == sorted(
         map(str, time_window(df, "key", "t", [], 9, count, mode="plain").collect()))
+
+
+def test_trailing_totals_equal_range_frames_without_sliding_over_them(spark):
+    """Counts and sums of open and closed frames equal Spark's range frames,
+    with equal times, null keys, times and amounts, one busy key and few
+    blocks; no plan slides a frame over rows."""
+    from pyspark.sql import functions as F
+    from ledgerhawk.functions.scalar import money
+    from ledgerhawk.operators.ordered import trailing_totals
+    df = spark.range(3000).select(
+        F.col("id"), F.when(F.col("id") % 11 > 0, F.when(F.col("id") % 3 > 0, F.lit("busy")).otherwise(F.concat(F.lit("k"), F.col("id") % 7))).alias("key"),
+        F.when(F.col("id") % 41 > 0, (F.col("id") * 7919) % 900).alias("t"),
+        F.when(F.col("id") % 13 > 0, ((F.col("id") * 31) % 1000 - 400) / 100).alias("amount"))
+    for own in (True, False):
+        got = trailing_totals(df, "key", "t", "amount", {"a": 5, "b": 60}, own=own, blocks=9)
+        assert "specifiedwindowframe(RangeFrame, -" not in got._jdf.queryExecution().toString()
+        cols = []
+        for name, span in (("a", 5), ("b", 60)):
+            w = Window.partitionBy("key").orderBy("t").rangeBetween(-span + 1, 0 if own else -1)
+            cols += [F.count(F.lit(1)).over(w).alias(f"{name}_count"), F.sum(money(F.col("amount"))).over(w).cast("double").alias(f"{name}_sum")]
+        want = df.select("*", *cols)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
