@@ -11,6 +11,7 @@ from ..operators import labels as lb
 from ..operators import sequences as sq
 from ..operators.features import (behavioral_training_features, financial_training_features,
                                   security_training_features, with_ip_shared, with_user_frequency_24h)
+from ..session import cut_lineage
 from ..sources import adapters as ad
 from .catalog import finish, r6, register
 from .oracle_views import with_views
@@ -69,7 +70,7 @@ _WINS_BASE = f"""SELECT t.txn_id, t.amount, c.cust_sum, d.dest_sum, CAST(t.step
         f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi" for c in WINS_COLS)
     + " FROM wb) q", ["txn"], [("wb", _WINS_BASE)]))
 def q_winsorize(spark, sf):
-    t = ad.transactions(spark, sf)
+    t = cut_lineage(ad.transactions(spark, sf).select("txn_id", "cust_id", "dest_id", "amount", "step"))   # read three times
     cs = acc.account_stats(t, "cust_id", "cust").select("cust_id", "cust_sum")
     ds = acc.account_stats(t, "dest_id", "dest").select("dest_id", "dest_sum")
     base = (t.join(cs, "cust_id").join(ds, "dest_id")

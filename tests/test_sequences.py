@@ -159,3 +159,20 @@ def test_trailing_totals_equal_range_frames_without_sliding_over_them(spark):
             cols += [F.count(F.lit(1)).over(w).alias(f"{name}_count"), F.sum(money(F.col("amount"))).over(w).cast("double").alias(f"{name}_sum")]
         want = df.select("*", *cols)
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_quantiles_run_the_plan_behind_the_columns_once(spark, monkeypatch):
+    """Quantiles of several columns and the clipped rows read one stored table."""
+    from ledgerhawk.operators import clean
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    df = spark.range(500).select("id", (F.col("id") * 1e5).alias("x"), F.lit(1.0).alias("y")).mapInPandas(seen, "id long, x double, y double")
+    out = clean.winsorize_extreme(df, ["x", "y"]).collect()
+    assert len(out) == 500 and max(r["x"] for r in out) < 499e5 and runs.value == 500
+    assert len(clean.clean_numeric(df, ["x", "y"]).collect()) == 500 and runs.value == 1000
+    assert exact_quantiles(df, "x", [0.5]) == [249.5 * 1e5] and runs.value == 1500
