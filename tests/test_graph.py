@@ -128,3 +128,54 @@ def test_betweenness_in_batches_is_exact_and_registered(spark):
     b = as_map(betweenness(g, normalized=False, pairs=15), "betweenness_centrality")  # three sources a batch
     assert b == pytest.approx({"1": 1.0, "2": 0.5, "3": 1.0, "4": 3.5, "5": 0.0})
     assert callable(q_graph.q_betweenness)
+
+
+def test_a_stored_graph_reads_its_transactions_once(spark):
+    """Undirected edges, adjacency and nodes are made of the stored directed edges."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    t = spark.range(40).select((F.col("id") % 5).cast("string").alias("cust_id"), (F.col("id") % 8 + 3).cast("string").alias("dest_id"),
+                               F.lit(1.0).alias("amount")).mapInPandas(seen, "cust_id string, dest_id string, amount double")
+    g = build_graph(t).checkpointed()
+    assert runs.value == 40
+    plain = build_graph(t)
+    for name in ("directed", "undirected", "adjacency", "nodes"):
+        assert sorted(map(str, getattr(g, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+
+
+def test_label_propagation_counts_what_moved(spark):
+    """Labels equal those of a plain count over all neighbours in every round,
+    and the edges are joined without being shuffled."""
+    import hashlib
+    from collections import Counter
+    from ledgerhawk.session import placed
+    from ledgerhawk.operators.graph.iterative import label_propagation
+    pairs = {(i, (i * 7 + j * j) % 60) for i in range(60) for j in range(1, 4)} | {(100, 101), (101, 102)}
+    t = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in sorted(pairs) if a != b], "cust_id string, dest_id string, amount double")
+    g = build_graph(t).checkpointed()
+    near = {}
+    for r in g.adjacency.collect():
+        near.setdefault(r["node"], []).append(r["nbr"])
+    lab = {v: v for v in near}
+    for it in range(1, 1001):
+        want = {}
+        for v, ws in near.items():
+            c = Counter(lab[w] for w in ws)
+            want[v] = min((-k, x != lab[v], x) for x, k in c.items())[2]
+        open_ = sum(want[v] != lab[v] for v in near)
+        lab = {v: want[v] if hashlib.md5(f"{v}:{it}".encode()).hexdigest() < "8" else lab[v] for v in near}
+        if not open_:
+            break
+    groups = {}
+    for v, x in lab.items():
+        groups.setdefault(x, []).append(v)
+    expected = {v: (min(vs), len(vs)) for vs in groups.values() for v in vs}
+    assert {r["node"]: (r["community_id"], r["community_size"]) for r in label_propagation(g).collect()} == expected
+    with placed(g.adjacency.select("node", "nbr"), "nbr") as adj:
+        joined = adj.join(g.nodes.withColumnRenamed("node", "nbr").hint("shuffle_hash"), "nbr")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
