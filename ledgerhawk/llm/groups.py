@@ -19,28 +19,57 @@ from pyspark.sql import functions as F
 from .common import removed, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of an edge list (a, b): the smallest node that can be
-    reached.  Each round takes the least label of the neighbours and then the
-    label of the label, so long chains shrink quickly."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct()
-    both = stored(both, "edges")
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, comp) of stored edges: every node goes to its least neighbour, if
+    that is smaller, and on to where that one went, up to a node that stays."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
     labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp")), "labels")
     while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("_theirs")), "other")
-                .groupBy("node").agg(F.min("_theirs").alias("_near")))
-        moved = labels.join(near, "node").select("node", F.col("comp").alias("_was"), F.least("comp", "_near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
-        moved = moved.join(jump, "comp", "left").select("node", "_was", F.least("comp", F.coalesce("_next", "comp")).alias("comp"))
-        after = stored(moved, "labels")
-        changed = after.where("comp <> _was").limit(1).count()
+        after = stored(_followed(labels, labels).withColumn("_moved", F.col("comp") != F.col("_was")), "labels")
+        moved = after.where("_moved").limit(1).count()
         removed(labels)
         labels = after.select("node", "comp")
-        if not changed:
-            removed(both)
+        if not moved:
             return labels
 
 
+def _followed(labels: DataFrame, to: DataFrame) -> DataFrame:
+    """``labels`` after each label took its own label of ``to``, if it has one."""
+    to = to.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
+    return labels.join(to, "comp", "left").select("node", F.col("comp").alias("_was"), F.coalesce("_next", "comp").alias("comp"))
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links as pairs (a, b) of the labels of their ends, each pair once; links
+    inside a label are gone."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")), end, "left")
+    ends = [F.coalesce(f"_{end}", end) for end in ("a", "b")]
+    return links.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).where("a <> b").distinct()
+
+
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node, comp) of an edge list (a, b): the smallest node that can be
+    reached; ``labels`` are the components of earlier edges.  Each round reads
+    the edges between components once, joins components along them and keeps
+    the edges between what came out, so an edge inside a component is read once."""
+    edges = edges.select("a", "b")
+    edges = stored(_between(edges, labels) if labels is not None else edges.distinct(), "edges")
+    while labels is None or edges.limit(1).count():
+        roots = _roots(edges)
+        rest = stored(_between(edges, roots), "edges")
+        removed(edges)
+        edges = rest
+        if labels is None:
+            labels = roots
+        else:
+            fresh = roots.join(labels, "node", "left_anti").select("node", "comp")
+            labels = stored(_followed(labels, roots).select("node", "comp").union(fresh), "labels")
+            removed(roots)
+    removed(edges)
+    return labels
+
+
 def _without_few(rows: DataFrame, apart: str) -> DataFrame:
     """Of a stored table (sig, node, part, sure, ...): leave out nodes that have
     fewer than ``sure`` signatures of a part, and signatures that then hold one
@@ -128,7 +157,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
             more = stored(verify(pairs), "links")
             if more.limit(1).count():
                 links = stored(links.union(more), "links")
-                labels = components(links)
+                labels = components(more, labels)
         rest = now.where(F.col("_rank") > upto + 1).limit(1).count()
         removed(now)
         if not rest:

@@ -153,6 +153,27 @@ def test_components(spark):
     for a, b in pairs:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for x in list(parent)}
+    early = groups.components(spark.createDataFrame(pairs[:90], "a long, b long"))
+    got = {r.node: r.comp for r in groups.components(spark.createDataFrame(pairs[90:], "a long, b long"), early).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+
+
+def test_a_link_is_read_once_for_components(spark, monkeypatch):
+    """One group of 200 nodes in which equal parity links: every link, however
+    late it is found, is joined with the components once."""
+    read, original = [], groups.stored
+
+    def counting(df, name):
+        table = original(df, name)
+        if name == "edges":
+            read.append(table.count())
+        return table
+
+    monkeypatch.setattr(groups, "stored", counting)
+    members = spark.createDataFrame([(7, i) for i in range(200)], "sig long, node long")
+    labels, links = groups.linked(members, lambda pairs: pairs.where("(a + b) % 2 = 0").select("a", "b"))
+    assert {r.node: r.comp for r in labels.collect()} == {i: i % 2 for i in range(200)}
+    assert sum(read) <= links.count()
 
 
 def follow(rows):
