@@ -179,3 +179,42 @@ def test_label_propagation_counts_what_moved(spark):
     with placed(g.adjacency.select("node", "nbr"), "nbr") as adj:
         joined = adj.join(g.nodes.withColumnRenamed("node", "nbr").hint("shuffle_hash"), "nbr")
         assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_kcore_counts_again_only_where_a_neighbour_fell_below(spark, monkeypatch):
+    """Cores equal plain peeling; rounds after the first read few nodes' edges,
+    and the vector, not the edges, is what a round of the power iterations moves."""
+    import random
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(400)} | {(i, i + 1) for i in range(200, 240)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    left, want, k = {v: set(ws) for v, ws in near.items()}, {}, 0
+    while left:
+        v = min(left, key=lambda x: (len(left[x]), x))
+        k = max(k, len(left[v]))
+        want[str(v)] = k
+        for u in left.pop(v):
+            left[u].discard(v)
+    lost, cut = [], it.cut_lineage
+
+    def counting(df):
+        out = cut(df)
+        if out.columns == ["node"]:
+            lost.append(out.count())
+        return out
+
+    monkeypatch.setattr(it, "cut_lineage", counting)
+    assert as_map(it.kcore(graph(spark, sorted(pairs)).checkpointed()), "core_number") == want
+    assert lost and max(lost) < len(near) and sum(lost) < len(near) * len(lost) / 2
+
+
+@pytest.mark.parametrize("measure", ["pagerank", "hits", "katz", "eigenvector", "kcore"])
+def test_rounds_store_their_edges_in_buckets(spark, monkeypatch, measure):
+    used, placed = [], it.placed
+    monkeypatch.setattr(it, "placed", lambda df, key: used.append(key) or placed(df, key))
+    g = graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
+    assert getattr(it, measure)(g, **({} if measure == "kcore" else {"max_iter": 2, "tol": None})).count() == 4
+    assert len(used) == 1
