@@ -333,6 +333,7 @@ def credit_decisions(decided: DataFrame, agencies: DataFrame | None = None, init
     order = ["agency_id", "_ts", "txn_id", "risk", "amount"]
     d = d.select("agency_id", "txn_id", "_ts", "risk", "amount", F.coalesce(rate, F.lit(0.0)).alias("chargeback_rate"),
                  *[F.coalesce(c, F.lit(v)).alias(n) for c, v, n in start])
+    d = cut_lineage(d)  # the range partitioner samples the decisions before it deals them
     rows = cut_lineage(d.repartitionByRange(blocks, *order).withColumn("_blk", F.spark_partition_id()))
 
     def in_order(extra: DataFrame | None) -> DataFrame:

@@ -153,7 +153,7 @@ def time_window(df: DataFrame, key: str, t: str, order: list[str], span: int,
 
 
 def trailing_totals(df: DataFrame, key: str, t: str, amount: str, spans: dict[str, int], own: bool = True,
-                    blocks: int | None = None) -> DataFrame:
+                    blocks: int | None = None, stored: bool = True) -> DataFrame:
     """Add ``<name>_count`` (rows) and ``<name>_sum`` (exact, as double; null
     without amounts) of the rows of the same key whose integer time lies in
     ``(t - span, t]``, or in ``(t - span, t)`` without ``own``, for every name
@@ -164,8 +164,13 @@ def trailing_totals(df: DataFrame, key: str, t: str, amount: str, spans: dict[st
     are added up per (key, time), every time looks up the total at its frame's
     start through a mark in the same order, and ``prefix_sums`` makes the
     totals over blocks, so neither a key's rows nor a frame's meet in one
-    task.  Rows without a time are each other's frame, as in a range frame."""
-    df = cut_lineage(df)   # read for the totals and for the rows
+    task.  Rows without a time are each other's frame, as in a range frame.
+
+    ``df`` is read for the totals and for the rows.  It is stored once for
+    that; without ``stored`` it is worked out twice, the totals reading three
+    columns of it and the rows those that the caller goes on to use, which
+    saves making and writing every column of a wide frame."""
+    df = cut_lineage(df) if stored else df
     at, totals = F.col(t), ["_n", "_v", "_s"]
     per = cut_lineage(df.groupBy(key, t).agg(
         F.count(F.lit(1)).alias("_n"), F.count(money(F.col(amount))).alias("_v"),

@@ -39,7 +39,8 @@ def velocity_6h(df: DataFrame, key: str = "agency_id", ts: str = "ts", amount: s
     History = earlier rows of the same agency with time in (t-6h, t); rows
     with an equal timestamp are not history.  Count and sum are differences
     of running totals (``trailing_totals``), so a busy agency costs no more a
-    row than a quiet one; ``mode="plain"`` is the range frame itself."""
+    row than a quiet one; ``mode="plain"`` is the range frame itself.  The
+    frame is not stored, so scores and factors that nobody reads are not made."""
     from ..ordered import time_window, trailing_totals
     d = df.withColumn("_us", epoch_micros(df, ts))
     if mode == "plain":
@@ -48,7 +49,7 @@ def velocity_6h(df: DataFrame, key: str = "agency_id", ts: str = "ts", amount: s
             F.count(F.lit(1)).over(f(w)).alias("recent_count"),
             F.sum(money(F.col(amount))).over(f(w)).cast("double").alias("recent_sum")], mode=mode)
     else:
-        out = trailing_totals(d, key, "_us", amount, {"recent": hours * HOUR_MICROS}, own=False)
+        out = trailing_totals(d, key, "_us", amount, {"recent": hours * HOUR_MICROS}, own=False, stored=False)
     out = out.drop("_us")
     n, s, a = F.col("recent_count"), F.coalesce(F.col("recent_sum"), F.lit(0.0)), F.col(amount)
     avg = F.try_divide(s, n)

@@ -71,6 +71,16 @@ def test_time_window_split_equals_plain(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
 
 
+def test_velocity_6h_makes_no_column_that_nobody_reads(spark):
+    from ledgerhawk.operators.rules.decision import velocity_6h
+    rows = [(1, 7, 0, 5.0), (2, 7, 3600, 6.0), (3, 7, 3600, 7.0), (4, 8, 10, None), (5, None, 20, 2.0)]
+    d = (spark.createDataFrame(rows, "txn_id long, agency_id long, s long, amount double")
+         .select("txn_id", "agency_id", F.timestamp_seconds("s").alias("ts"), "amount", F.raise_error(F.concat(F.lit("made "), "txn_id")).alias("unread")))
+    got = velocity_6h(d).select("txn_id", "recent_count", "recent_sum").orderBy("txn_id").collect()
+    assert [r["recent_sum"] for r in got] == [None, 5.0, 5.0, None, None]
+    assert [r["recent_count"] or 0 for r in got] == [0, 1, 1, 0, 0]
+
+
 def test_velocity_windows_split_equals_plain(spark):
     from ledgerhawk.operators.sequences import velocity_windows
     from ledgerhawk.sources import adapters as ad
