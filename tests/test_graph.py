@@ -114,6 +114,27 @@ def test_katz_without_a_limit_is_zero(spark):
     assert all(v == pytest.approx(1 / 12 ** 0.5) for v in k.values())
 
 
+def test_closeness_leaves_no_bitmaps_behind(spark, monkeypatch):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from ledgerhawk.operators.graph import paths
+    from ledgerhawk.session import cut_lineage
+    stored = []
+
+    def kept(df):
+        out = cut_lineage(df)
+        if "bits" in df.columns:
+            stored.append(Path(urlparse(out.inputFiles()[0]).path).parent)
+        return out
+
+    monkeypatch.setattr(paths, "cut_lineage", kept)
+    monkeypatch.setattr(paths, "BATCH", 4)
+    c = as_map(paths.closeness(graph(spark, [(i, i + 1) for i in range(1, 6)])), "closeness_centrality")
+    assert c["1"] == pytest.approx(5 / 15) and c["3"] == pytest.approx(5 / 9)
+    assert len(stored) > 6 and not any(f.exists() for f in stored)
+
+
 def test_closeness_of_parts_and_of_a_path(spark):
     from ledgerhawk.operators.graph.paths import closeness
     c = as_map(closeness(graph(spark, [(1, 2), (2, 3), (3, 4), (11, 12)])), "closeness_centrality")
