@@ -239,3 +239,75 @@ def test_rounds_store_their_edges_in_buckets(spark, monkeypatch, measure):
     g = graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
     assert getattr(it, measure)(g, **({} if measure == "kcore" else {"max_iter": 2, "tol": None})).count() == 4
     assert len(used) == 1
+
+
+def _plain_paths(edges):
+    """Brandes, one source at a time: unnormalised betweenness and closeness."""
+    nbr = {}
+    for a, b in edges:
+        nbr.setdefault(str(a), set()).add(str(b))
+        nbr.setdefault(str(b), set()).add(str(a))
+    between, close = dict.fromkeys(nbr, 0.0), {}
+    for s in nbr:
+        dist, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in nbr[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for v in nbr[w]:
+                if dist[v] == dist[w] - 1:
+                    delta[v] += paths[v] / paths[w] * (1 + delta[w])
+            between[w] += delta[w] / 2
+        close[s] = (len(order) - 1) ** 2 / sum(dist.values()) / (len(nbr) - 1)
+    return between, close
+
+
+def test_shortest_paths_over_blocks_waves_and_groups_are_brandes(spark, monkeypatch):
+    """Free and kept nodes, edges between kept ones, a long path, a second part,
+    a few edges a block, a few sources a batch, two batches a wave."""
+    import random
+
+    from ledgerhawk.operators.graph import paths
+    rnd = random.Random(5)
+    edges = {(h, rnd.randrange(10, 30)) for h in range(5) for _ in range(7)} | {(0, 1), (1, 2), (0, 3)}
+    edges |= {(i, i + 1) for i in range(29, 36)} | {(50, i) for i in range(51, 55)} | {(60, 61), (61, 62), (62, 60)}
+    between, close = _plain_paths(edges)
+    monkeypatch.setattr(paths, "BLOCK", 20)
+    monkeypatch.setattr(paths, "ADDED", 6)
+    monkeypatch.setattr(paths, "WAVE", 900)
+    g = graph(spark, sorted(edges)).checkpointed()
+    got = paths.shortest_paths(g, normalized=False, pairs=20 * len(between)).collect()
+    assert {r["node"]: r["betweenness_centrality"] for r in got} == pytest.approx(between)
+    assert {r["node"]: r["closeness_centrality"] for r in got} == pytest.approx(close)
+    assert as_map(paths.closeness(g), "closeness_centrality") == pytest.approx(close)
+
+
+def test_shortest_paths_store_vectors_of_kept_nodes_only(spark, monkeypatch):
+    """Thirty accounts around two hubs: only the hubs' vectors are stored."""
+    from ledgerhawk.operators.graph import paths
+    from ledgerhawk.session import cut_lineage
+    rows = []
+
+    def counted(df):
+        out = cut_lineage(df)
+        if "sigma" in df.columns:
+            rows.append(out.where("sigma is not null").count())
+        return out
+
+    monkeypatch.setattr(paths, "cut_lineage", counted)
+    edges = [(h, i) for h in (1, 2) for i in range(10, 40)]
+    got = paths.shortest_paths(graph(spark, edges), normalized=False).collect()
+    assert {r["node"]: r["betweenness_centrality"] for r in got} == pytest.approx(_plain_paths(edges)[0])
+    assert rows and max(rows) == 2
+
+
+def test_pivots_beyond_reach_leave_zeros(spark):
+    """One pivot: nodes of other parts hear nothing and count as 0."""
+    from ledgerhawk.operators.graph.paths import betweenness
+    b = as_map(betweenness(graph(spark, [(1, 2), (2, 3), (11, 12), (12, 13)]), k=1, normalized=False), "betweenness_centrality")
+    assert len(b) == 6 and None not in b.values() and sum(b.values()) in (0.0, 3.0)
