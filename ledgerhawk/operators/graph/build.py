@@ -27,17 +27,17 @@ class Graph:
     frozen: bool = False
 
     def checkpointed(self) -> "Graph":
-        """The same graph with each frame written once to the checkpoint
+        """The same graph with its frames written once to the checkpoint
         folder: iterative algorithms re-read edges every round, and a lost
         executor then re-reads files instead of rebuilding the graph.  The
         transactions are read once, for the directed edges; the other frames
-        are made of those."""
+        are made of those, and the adjacency is the undirected edges read twice."""
         if self.frozen:
             return self
         from ...session import cut_lineage
         g = graph_of(cut_lineage(self.directed))
         und = cut_lineage(g.undirected)
-        return Graph(g.directed, und, cut_lineage(both_ways(und)), cut_lineage(g.nodes), True)
+        return Graph(g.directed, und, both_ways(und), cut_lineage(g.nodes), True)
 
 
 def build_graph(txns: DataFrame, src: str = "cust_id", dst: str = "dest_id", amount: str = "amount") -> Graph:

@@ -4,17 +4,27 @@ Triangles use the degree-ordered wedge join: every undirected edge is
 oriented from the endpoint of lower (degree, id) rank to the higher one,
 so each node's out-list has at most sqrt(2m) entries and a hub's
 neighbourhood is never paired up; each triangle is found once, at its
-lowest-ranked corner, and credited to its three corners.
+lowest-ranked corner, and credited to its three corners.  Wedges that no edge
+closes stay in the task that makes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import cut_lineage
 from .build import Graph
 
+#: Bits (power of two) of the bitmap of closing edges at most, and wedges made at a time.
+MOST_BITS = 29
+SLICE = 1_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
 def degrees(g: Graph) -> DataFrame:
     """Undirected degree (distinct neighbours) of every node."""
@@ -72,14 +82,78 @@ def oriented_edges(g: Graph) -> DataFrame:
                     F.when(u_first, F.col("v")).otherwise(F.col("u")).alias("b"), F.greatest("du", "dv").alias("db"))
 
 
+def _places(one: np.ndarray, two: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a bitmap of ``2 ** bits`` bits for pairs of node hashes."""
+    pair = one * _MIX + two
+    return pair >> np.uint64(64 - bits), ((pair ^ (pair >> np.uint64(29))) * _MIX) >> np.uint64(64 - bits)
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _marks(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            place = np.concatenate(_places(_hashes(rows.column("hb")), _hashes(rows.column("hc")), bits))
+            mask = np.uint64(1) << (place & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(mask.view(np.int64))], ["cell", "mask"])
+    return run
+
+
+def _pair_bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bitmap that has both places of all ``n`` pairs (hb, hc), and of few others:
+    16 bits a pair or more, up to ``2 ** MOST_BITS`` (64 MB)."""
+    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
+    cells = pairs.mapInArrow(_marks(bits), "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    held = np.zeros(1 << (bits - 6), np.uint64)  # at most so many rows reach the driver
+    held[cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
+    return held, bits
+
+
+def _wedges(bitmap, bits: int):
+    """Pairs of each node's list, in order, that the bitmap may hold."""
+    def has(held: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return (held[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bitmap.value
+        for rows in batches:
+            lists = rows.column("out")
+            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            b, h = flat.field("b"), _hashes(flat.field("h"))
+            own = np.repeat(np.arange(len(size)), size)
+            later = np.repeat(np.cumsum(size), size) - np.arange(len(own)) - 1
+            done = np.append(0, np.cumsum(later))
+            at = 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(done, done[at] + SLICE, "right")) - 1)
+                first = np.repeat(np.arange(at, to), later[at:to])
+                second = np.arange(len(first)) - np.repeat(done[at:to] - done[at], later[at:to]) + first + 1
+                one, two = _places(h[first], h[second], bits)
+                some = np.flatnonzero(has(held, one))
+                some = some[has(held, two[some])]
+                i, j = first[some], second[some]
+                yield pa.RecordBatch.from_arrays([rows.column("a").take(pa.array(own[i])), b.take(pa.array(i)), b.take(pa.array(j))], ["a", "b", "c"])
+                at = to
+    return run
+
+
 def triangle_list(g: Graph) -> DataFrame:
     """Every triangle once as (a, b, c) in order of rank: a wedge at its
-    lowest-ranked corner is closed by the one edge b -> c."""
-    o = cut_lineage(oriented_edges(g))   # read three times
-    x, y = F.struct("x.db", "x.b"), F.struct("y.db", "y.b")
-    w = (o.alias("x").join(o.alias("y"), F.col("x.a") == F.col("y.a")).where(x < y)
-         .select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c")))
-    return w.join(o.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
+    lowest-ranked corner is closed by the one edge b -> c.  Wedges are made node
+    by node from its list of higher neighbours and only those leave the task
+    that a bitmap of the closing edges may hold (it misses none); the join with
+    these edges decides."""
+    o = oriented_edges(g)
+    lists = cut_lineage(o.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("db", "b", F.xxhash64("b").alias("h")))).alias("out")))
+    middle = lists.select(F.explode("out.b").alias("a")).distinct()  # only edges of these can close a wedge
+    closing = cut_lineage(lists.join(middle, "a", "left_semi").select(F.col("a").alias("b"), F.explode("out").alias("_o"))
+                          .select("b", F.col("_o.b").alias("c"), F.xxhash64("b").alias("hb"), F.col("_o.h").alias("hc")))
+    held, bits = _pair_bitmap(closing.select("hb", "hc"), closing.count())
+    bitmap, node = lists.sparkSession.sparkContext.broadcast(held), lists.schema["a"].dataType.simpleString()
+    w = lists.where(F.size("out") > 1).mapInArrow(_wedges(bitmap, bits), f"a {node}, b {node}, c {node}")
+    return w.join(closing.select("b", "c"), ["b", "c"]).select("a", "b", "c")
 
 
 def triangles(g: Graph) -> DataFrame:

@@ -58,10 +58,24 @@ def cut_lineage(df):
     joins those multiply and planning would outlast the work."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """What a write shuffles goes as soon as it is written: nothing reads it
+    again, and else it stays on the disks until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 @contextmanager
 def placed(df, key: str):
     """``df`` stored in the shared folder in buckets of ``key``, for tables that
@@ -70,7 +84,8 @@ def placed(df, key: str):
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"placed_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    df.repartition(n, key).write.option("path", path).bucketBy(n, key).saveAsTable(name)
+    with _shuffles_removed(spark):
+        df.repartition(n, key).write.option("path", path).bucketBy(n, key).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

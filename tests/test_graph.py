@@ -311,3 +311,50 @@ def test_pivots_beyond_reach_leave_zeros(spark):
     from ledgerhawk.operators.graph.paths import betweenness
     b = as_map(betweenness(graph(spark, [(1, 2), (2, 3), (11, 12), (12, 13)]), k=1, normalized=False), "betweenness_centrality")
     assert len(b) == 6 and None not in b.values() and sum(b.values()) in (0.0, 3.0)
+
+
+def test_wedges_that_no_edge_closes_stay_in_their_task(spark, monkeypatch):
+    """Triangles equal a plain count with a roomy bitmap and with one of 64 bits;
+    with the roomy one hardly more than the triangles leaves the tasks."""
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(3)
+    edges = {tuple(sorted(rnd.sample(range(12), 2))) for _ in range(30)} | {(h, i) for i in range(100, 220) for h in rnd.sample(range(12), 6)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {tuple(sorted((str(a), str(b), str(c)))) for a in near for b, c in combinations(sorted(near[a]), 2) if c in near[b]}
+    rows, made = spark.sparkContext.accumulator(0), lc._wedges
+
+    def counted(bitmap, bits):
+        def run(batches):
+            for out in made(bitmap, bits)(batches):
+                rows.add(out.num_rows)
+                yield out
+        return run
+
+    monkeypatch.setattr(lc, "_wedges", counted)
+    monkeypatch.setattr(lc, "SLICE", 50)
+    g = graph(spark, sorted(edges)).checkpointed()
+    got = [tuple(sorted(r)) for r in lc.triangle_list(g).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) <= rows.value < len(want) + 100
+    monkeypatch.setattr(lc, "MOST_BITS", 6)
+    assert {tuple(sorted(r)) for r in lc.triangle_list(g).collect()} == want
+    assert lc.triangle_list(graph(spark, [(1, 2)])).count() == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from ledgerhawk.session import cut_lineage
+
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    t = cut_lineage(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert not {f for f in files() - before if f.endswith(".data")}
+    assert t.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
