@@ -358,3 +358,20 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     assert not {f for f in files() - before if f.endswith(".data")}
     assert t.count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_eigenvector_needs_few_products_where_eigenvalues_are_near(spark, monkeypatch):
+    """A path of thirty (next eigenvalue 1 % below, one near it below zero), where
+    single rounds would take over a thousand; parts with a smaller and an equal eigenvalue."""
+    from math import pi, sin
+    g = graph(spark, [(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 52)]).checkpointed()
+    products, along = [], it._along
+    monkeypatch.setattr(it, "_along", lambda *a: products.append(1) or along(*a))
+    got = as_map(it.eigenvector(g, max_iter=100, tol=1e-10), "eigenvector")
+    norm = sum(sin(pi * i / 31) ** 2 for i in range(1, 31)) ** 0.5
+    assert got == pytest.approx({str(i): sin(pi * i / 31) / norm for i in range(1, 31)} | {"50": 0.0, "51": 0.0, "52": 0.0}, abs=1e-8)
+    assert len(products) < 60 and min(got.values()) >= 0
+    twice = as_map(it.eigenvector(graph(spark, [(1, 2), (2, 3), (11, 12), (12, 13)]), tol=1e-10), "eigenvector")
+    assert twice == pytest.approx({"1": 8 ** -0.5, "2": 0.5, "3": 8 ** -0.5, "11": 8 ** -0.5, "12": 0.5, "13": 8 ** -0.5})
+    with pytest.raises(it.NotConverged):
+        it.eigenvector(g, max_iter=5, tol=1e-10)
