@@ -375,3 +375,26 @@ def test_eigenvector_needs_few_products_where_eigenvalues_are_near(spark, monkey
     assert twice == pytest.approx({"1": 8 ** -0.5, "2": 0.5, "3": 8 ** -0.5, "11": 8 ** -0.5, "12": 0.5, "13": 8 ** -0.5})
     with pytest.raises(it.NotConverged):
         it.eigenvector(g, max_iter=5, tol=1e-10)
+
+
+@pytest.mark.parametrize("measure", ["pagerank", "eigenvector", "kcore", "label_propagation"])
+def test_rounds_join_numbers_and_leave_few_tables(spark, monkeypatch, measure):
+    """Edges are placed by number, in the order of the names, and tables of rounds gone by are deleted."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+    kinds, stored, placed, cut = [], [], it.placed, it.cut_lineage
+
+    def kept(df):
+        out = cut(df)
+        stored.append(Path(urlparse(out.inputFiles()[0]).path).parent)
+        return out
+
+    monkeypatch.setattr(it, "placed", lambda df, key: kinds.append(dict(df.dtypes)) or placed(df, key))
+    g = graph(spark, [(i, i + 1) for i in range(1, 14)] + [(20, 21)]).checkpointed()
+    names = {r["node"]: r["no"] for r in g.numbered()[0].collect()}
+    assert [v for _, v in sorted(names.items())] == list(range(16))
+    monkeypatch.setattr(it, "cut_lineage", kept)
+    out = getattr(it, measure)(g)
+    assert {r["node"] for r in out.collect()} == set(names)
+    assert [{t for c, t in k.items() if c != "p"} for k in kinds] == [{"bigint"}]
+    assert len(stored) > 3 and sum(f.exists() for f in stored) <= 3
