@@ -398,3 +398,33 @@ def test_rounds_join_numbers_and_leave_few_tables(spark, monkeypatch, measure):
     assert {r["node"] for r in out.collect()} == set(names)
     assert [{t for c, t in k.items() if c != "p"} for k in kinds] == [{"bigint"}]
     assert len(stored) > 3 and sum(f.exists() for f in stored) <= 3
+
+
+def test_closeness_over_blocks_and_batches_stores_kept_nodes_only(spark, monkeypatch):
+    """Equal to a plain search over a few edges a block, batches of seven sources, two abreast;
+    of thirty accounts around two hubs only the hubs have bitmaps."""
+    import random
+
+    from ledgerhawk.operators.graph import paths
+    from ledgerhawk.session import cut_lineage
+    rnd, rows = random.Random(8), []
+
+    def counted(df):
+        out = cut_lineage(df)
+        if "bits" in df.columns:
+            rows.append(out.where("bits is not null").count())
+        return out
+
+    edges = {(h, rnd.randrange(10, 30)) for h in range(5) for _ in range(7)} | {(0, 1), (1, 2), (0, 3)}
+    edges |= {(i, i + 1) for i in range(29, 36)} | {(50, i) for i in range(51, 55)} | {(60, 61), (61, 62), (62, 60)}
+    with monkeypatch.context() as m:
+        m.setattr(paths, "BLOCK", 3)
+        m.setattr(paths, "ADDED", 6)
+        m.setattr(paths, "BATCH", 7)
+        m.setattr(paths, "ABREAST", 500)
+        got = as_map(paths.closeness(graph(spark, sorted(edges)).checkpointed()), "closeness_centrality")
+    assert got == pytest.approx(_plain_paths(edges)[1])
+    monkeypatch.setattr(paths, "cut_lineage", counted)
+    hubs = [(h, i) for h in (1, 2) for i in range(10, 40)]
+    assert as_map(paths.closeness(graph(spark, hubs)), "closeness_centrality") == pytest.approx(_plain_paths(hubs)[1])
+    assert rows and max(rows) == 2
