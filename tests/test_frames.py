@@ -60,3 +60,18 @@ def test_importance_and_evaluation_files(spark, tmp_path):
     sn.write_evaluation(m, f"{tmp_path}/ev")
     detail, summary = sn.read_evaluation(spark, f"{tmp_path}/ev", "model string, auc double")
     assert detail.count() == 3 and tuple(summary.first()) == (3, "auc", "z", 0.9)
+
+
+def test_financial_rows_are_not_shuffled_by_their_few_types(spark):
+    """Two shuffles of the rows, by destination and by customer; types join where the rows are."""
+    from ledgerhawk.operators.features import financial_training_features
+    rows = [(i, f"c{i % 7}", f"d{i % 5}", 10.0 * i + 1, 100.0, 100.0 - i, i, [None, "TRANSFER", "PAYMENT"][i % 3]) for i in range(60)]
+    t = spark.createDataFrame(rows, "txn_id long, cust_id string, dest_id string, amount double, oldbalanceOrg double, newbalanceOrig double, "
+                                    "step long, type string")
+    out = financial_training_features(t)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [type" in plan and out.columns[:3] == ["type", "dest_id", "cust_id"]
+    got = {r["txn_id"]: r for r in out.collect()}
+    assert len(got) == 60 and got[3]["type_encoded"] is None and got[3]["amount_zscore_by_type"] is None
+    assert {got[i]["type_encoded"] for i in range(60) if i % 3 == 1} == {1} and {got[i]["type_encoded"] for i in range(60) if i % 3 == 2} == {0}
+    assert got[4]["customer_txn_count"] == 8 and got[4]["dest_txn_count"] == 12
